@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan
+from . import language_id, secret_scan, toxicity
 from .common import read
 from .exact_dedup import exact_dedup
 
@@ -28,8 +28,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("path").alias("doc_id"), *map(count, ("assign", "access", "hex")), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("findings")).alias("spans"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(_remainder(5) != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(_remainder(4) != 2))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
 
