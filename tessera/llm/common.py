@@ -51,8 +51,8 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def ascii_lower(column: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(column, UPPER, UPPER.lower())
+    """Lower-cases A-Z and nothing else. In pure ASCII text lower() does just that, much faster."""
+    return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, UPPER.lower()))
 
 
 def fold_split(column: Column, separators: str) -> Column:

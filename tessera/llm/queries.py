@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, secret_scan, toxicity
-from .common import read
+from .common import UPPER, read
+from .decontaminate import overlaps
 from .exact_dedup import exact_dedup
 
 
@@ -39,6 +40,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(_remainder(4) != 2))
@@ -49,12 +56,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 
 def _duck_spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     pattern = pattern.replace("'", "''")
@@ -72,6 +82,15 @@ ORACLE_SQL: dict[str, str] = {
       b as (select n.norm, min(doc_id) as keep_id from n join g on n.norm = g.norm and n.len = g.most group by n.norm)
       select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n.norm) as text_sha256
       from n join g on n.norm = g.norm join b on n.norm = b.norm""",
+    "op8_decontaminate": rf"""
+      with dw as (select doc_id, {_WORDS} as w from documents), bw as (select item_id, {_WORDS} as w from benchmark),
+      wins as (select item_id, unnest(case when len(w) < 10 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) end) as win, least(len(w), 10) as n from bw where len(w) > 0),
+      grams as (select doc_id, l.n, unnest(range(1, len(w) - l.n + 2)) as i, w from dw, (select distinct n from wins) l where len(w) >= l.n),
+      occ as (select g.doc_id, g.i, g.n, x.item_id from grams g join wins x on x.n = g.n and x.win = array_to_string(g.w[g.i:g.i + g.n - 1], ' ')),
+      hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) group by doc_id),
+      named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from occ) group by doc_id)
+      select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+      from dw d left join hit h on d.doc_id = h.doc_id left join named m on d.doc_id = m.doc_id""",
     "op10_secret_scan": "with docs as (select doc_id, coalesce(text, '') as t from documents), spans as ("
     + " union all ".join(_duck_spans(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(secret_scan.RULES))
     + """), j as (select doc_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c, count(*) filter (kind = 'hex') as h,
