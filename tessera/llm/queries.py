@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, secret_scan, toxicity
+from . import language_id, packing, secret_scan, toxicity
 from .common import UPPER, read
 from .decontaminate import overlaps
 from .exact_dedup import exact_dedup
@@ -38,6 +38,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The rank file and the splitting pattern of the public byte-level BPE with 50k tokens. Its
+    ids equal those of byte_bpe_50k.json, which holds the same vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), *tokenizer_files())
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(_remainder(5) != 0))
@@ -60,6 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,

@@ -21,7 +21,7 @@ from .hashing import LETTERS, chunks, mix, word_hashes
 
 BITS = 20
 #: Bound on the training sample: labelled rows, taken by hash of their id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 EPOCHS = 8
 #: Bytes of word beginnings that are features of their own.
 STEMS = (4, 6)
@@ -66,13 +66,16 @@ def fit(texts: list[bytes], labels: np.ndarray, alpha: float = 0.3, beta: float
     n, z = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last place is the bias, without L1
     bias = 1 << BITS
     rows: list[np.ndarray] = []
-    for a, b in chunks(texts):
+    count = np.zeros(1 << BITS, np.int64)
+    for a, b in chunks(texts, 1 << 19):
         doc, place = features(texts[a:b])
         once = np.unique((doc << BITS) | place)
         cuts = np.searchsorted(once, np.arange(1, b - a) << BITS)
-        rows += [x & ((1 << BITS) - 1) for x in np.split(once, cuts)]
-    common = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=1 << BITS) >= LEAST_ROWS
-    rows = [np.append(x[common[x]], bias) for x in rows]
+        once &= (1 << BITS) - 1
+        count += np.bincount(once, minlength=1 << BITS)
+        rows += [x.copy() for x in np.split(once.astype(np.int32), cuts)]
+    for k, x in enumerate(rows):
+        rows[k] = np.append(x[count[x] >= LEAST_ROWS], np.int32(bias))
     order = np.random.default_rng(5)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
