@@ -3,7 +3,7 @@
 Only lengths matter for packing, and there are at most ``capacity`` of them, so the plan is made
 on the driver from their counts, whatever the number of documents, and is itself a short table:
 
-1. Lengths above capacity / SMALL_PART are large. Sorted, they are cut into GROUPS groups of equal
+1. Lengths above a part of the capacity are large. Sorted, they are cut into GROUPS groups of equal
    cardinality, and each is rounded up to the largest of its group: few sizes remain.
 2. Configurations of these few sizes are chosen one after another: the largest size left plus the
    combination that fills the rest best (a knapsack over the sizes left), as often as the demand
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CAPACITY = 2048
-SMALL_PART, GROUPS = 8, 96
+#: Boundaries between small and large that are planned; the plan with fewest sequences is used.
+SMALL_PARTS, GROUPS = (2, 3, 4, 8), 1024
 BUCKET = 1000
 #: Ends each document.
 END_ID = 0
@@ -75,7 +76,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern
 class Plan:
     """Rows (length, first rank, count, first sequence, pieces of this row per sequence, offset)."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, small_part: int = SMALL_PART, groups: int = GROUPS):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, small_part: int = SMALL_PARTS[0], groups: int = GROUPS):
         self.capacity, self.sequences, self.rows = capacity, 0, []
         self.rank = dict.fromkeys(counts, 0)
         self.gaps: dict[int, list[list[int]]] = {}  # gap: [first sequence, count]
@@ -210,6 +211,10 @@ class Plan:
         return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    return min((Plan(counts, capacity, part) for part in SMALL_PARTS), key=lambda p: p.sequences)
+
+
 def place(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of pieces."""
     key = (table[:, 0] << 44) | table[:, 1]
@@ -229,7 +234,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     cut_up = materialize(pieces(docs, id_col, text_col, ranks_path, pattern, capacity, with_ids), "pieces")
     counts = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}  # at most capacity rows
-    plan = spark.sparkContext.broadcast(Plan(counts, capacity).table())
+    plan = spark.sparkContext.broadcast(best_plan(counts, capacity).table())
     known = spark.createDataFrame([(n, -(-c // BUCKET)) for n, c in counts.items()], "length long, buckets long")
     dealt = cut_up.join(F.broadcast(known), "length").withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
     sizes = dealt.groupBy("length", "bucket").count()
