@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, secret_scan, toxicity
+from . import html_extract, language_id, packing, secret_scan, toxicity
 from .common import UPPER, read
 from .decontaminate import overlaps
 from .exact_dedup import exact_dedup
@@ -38,6 +38,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The rank file and the splitting pattern of the public byte-level BPE with 50k tokens. Its
     ids equal those of byte_bpe_50k.json, which holds the same vocabulary."""
@@ -72,6 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
