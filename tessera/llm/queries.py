@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, packing, secret_scan, toxicity
+from . import html_extract, language_id, packing, pii, secret_scan, toxicity
 from .common import UPPER, read
 from .decontaminate import overlaps
 from .exact_dedup import exact_dedup
@@ -38,6 +38,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -77,6 +82,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_pii": op2_pii,
     "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
