@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,3 +61,24 @@ def ascii_lower(column: Column) -> Column:
 def fold_split(column: Column, separators: str) -> Column:
     """The non-empty parts of the ASCII-lower-cased text between runs of separators."""
     return F.filter(F.split(ascii_lower(column), separators), lambda w: w != "")
+
+
+def append_columns(df: DataFrame, text_col: str, keep: list[str], fields: str, fn: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """The columns keep, untouched, and those of fields, which fn makes from the texts of a batch.
+    Kept columns stay in Arrow, so nulls and large integers are safe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = fn(batch.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=names)
+
+    schema = df.select(*keep).schema
+    for f in StructType.fromDDL(fields):
+        schema = schema.add(f.name, f.dataType)
+    names = schema.names
+    return df.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
+
+
+def encoded(texts: list[str | None]) -> list[bytes]:
+    """UTF-8; null counts as empty."""
+    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]

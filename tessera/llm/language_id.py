@@ -13,14 +13,16 @@ costs are worked out once per distinct n-gram, and gathered: whole texts, no Pyt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import append_columns
+
 #: Longest context in bytes.
 ORDER = 3
 #: Bound on the training sample: rows per language, taken by hash of their id.
@@ -126,8 +128,6 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     some = picked[0]
     for p in picked[1:]:
         some = some | p
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id", F.xxhash64("_text")))
     return rows.filter(some).withColumn("_rank", rank).filter(F.col("_rank") <= rows_per_language).select("_lang", "_text").orderBy("_lang", "_rank").collect()
 
@@ -141,24 +141,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(names, [Tree.grown(texts[n], order) for n in names], order)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, lang_pred, score.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: id (or the columns in keep), lang_pred, score.
 
     A text that is null or has no letter gives ``und`` and 0, as does every text if the model has
     no language. Null and repeated ids keep their rows; other columns are ignored, whatever their
     names; an empty table gives no rows. Whole texts are scored, however long.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
+    keep = [id_col] if keep is None else keep
+    rows = docs.select(*keep, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("_lettered"))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(texts: list[str | None]) -> list[pa.Array]:
         model = sent.value
-        for batch in batches:
-            lang, p = np.full(len(batch), UNDETERMINED, object), np.zeros(len(batch))
-            some = np.flatnonzero(batch["text"].notna().to_numpy()) if model.languages else []
-            if len(some):
-                lang[some], p[some] = model.predict([t.encode("utf-8", "replace") for t in batch["text"].iloc[some]])
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": lang, "score": p})
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return rows.mapInPandas(score, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+        lang, p = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        some = [k for k, t in enumerate(texts) if t is not None] if model.languages else []
+        if some:
+            lang[some], p[some] = model.predict([texts[k].encode("utf-8", "replace") for k in some])
+        return [pa.array(lang, pa.string()), pa.array(p)]
+
+    return append_columns(rows, "_lettered", keep, "lang_pred string, score double", score)

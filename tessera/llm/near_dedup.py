@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import append_columns, encoded, materialize, sized
 from .components import connected_components
 from .hashing import NOT_SPACE, chunks, mix, word_hashes
 
@@ -110,10 +111,6 @@ def least_estimate(threshold: float) -> float:
     return threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
 
-def _encoded(texts: pd.Series) -> list[bytes]:
-    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-
-
 def _stack(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, REGISTERS)
 
@@ -129,27 +126,25 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """id, n, f1, f2, sketch: one row per row of docs (id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for s in shingle_sets(_encoded(batch["text"]), size):
-                with np.errstate(over="ignore"):
-                    f1, f2 = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
-                out.append((len(s), f1.astype(np.int64), f2.astype(np.int64), sketch(s).tobytes()))
-            yield pd.concat([batch[["id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "f1", "f2", "sketch"])], axis=1)
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        out = []
+        for s in shingle_sets(encoded(texts), size):
+            with np.errstate(over="ignore"):
+                f1, f2 = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
+            out.append((len(s), f1.astype(np.int64), f2.astype(np.int64), sketch(s).tobytes()))
+        return [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
 
-    return docs.select("id", "text").mapInPandas(run, "id long, n long, f1 long, f2 long, sketch binary")
+    return append_columns(docs, "text", ["id"], "n long, f1 long, f2 long, sketch binary", run)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """id, set (sorted 64-bit shingle hashes) of the documents with these ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "set": [s.tobytes() for s in shingle_sets(_encoded(batch["text"]), size)]})
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([s.tobytes() for s in shingle_sets(encoded(texts), size)], pa.binary())]
 
     ids = materialize(ids.distinct(), "ids")
-    return materialize(docs.select("id", "text").join(sized(ids, 16), "id", "left_semi").mapInPandas(run, "id long, set binary"), "sets")
+    return materialize(append_columns(docs.join(sized(ids, 16), "id", "left_semi"), "text", ["id"], "set binary", run), "sets")
 
 
 def bands(reps: DataFrame) -> DataFrame:

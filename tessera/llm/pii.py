@@ -12,15 +12,15 @@ needs and overlaps no base span.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import append_columns
 from .crf_lstm import Tagger, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
@@ -247,19 +247,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     sent = docs.sparkSession.sparkContext.broadcast(tagger())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            base = [base_spans(t) for t in texts]
-            more = tagged_spans(texts, sent.value)
-            out = batch[["id"]].copy()
-            for k, kind in enumerate(KINDS):
-                out[f"n_{kind}"] = [sum(s[1] == k for s in b) for b in base]
-            out["base"] = [written(b) for b in base]
-            out["spans"] = [written(sorted(b + [s for s in m if all(s[2] <= x[0] or s[0] >= x[2] for x in b)])) for b, m in zip(base, more, strict=True)]
-            out["base_sha256"] = [hashlib.sha256(b.encode()).hexdigest() for b in out["base"]]
-            yield out
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, base_sha256 string").withColumnRenamed("id", id_col)
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        texts = ["" if t is None else t for t in texts]
+        base = [base_spans(t) for t in texts]
+        more = tagged_spans(texts, sent.value)
+        every = [sorted(b + [s for s in m if all(s[2] <= x[0] or s[0] >= x[2] for x in b)]) for b, m in zip(base, more, strict=True)]
+        counts = [pa.array([sum(s[1] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
+        return [*counts, *(pa.array(map(written, spans), pa.string()) for spans in (base, every))]
+
+    found = append_columns(docs, text_col, [id_col], "n_email long, n_ip long, n_card long, n_phone long, base string, spans string", run)
+    return found.withColumn("base_sha256", F.sha2("base", 256))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, packing, pii, secret_scan, toxicity
+from . import html_extract, language_id, licenses, packing, pii, secret_scan, toxicity
 from .common import UPPER, read
 from .decontaminate import overlaps
 from .exact_dedup import exact_dedup
@@ -67,6 +67,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: <source>/<thousands of doc_id>/<doc_id>.txt, or LICENSE-<doc_id> for every
+    50th, so that folders have license files wherever those hold a notice."""
+    i = F.col("doc_id")
+    name = F.when(i % 50 == 0, F.concat(F.lit("LICENSE-"), i)).otherwise(F.concat(i, F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(i / 1000).cast("string"), name)
+    return licenses.scan(read(spark, sf_dir, "documents").withColumn("path", path), keep=("doc_id",))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
@@ -86,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_licenses": op6_licenses,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,

@@ -9,14 +9,14 @@ model is a short list of (place, weight) that is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import append_columns, encoded
 from .hashing import LETTERS, chunks, mix, word_hashes
 
 BITS = 20
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = some.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
     got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").select("_id", "_text", "_y").collect()
     got.sort(key=lambda r: (r["_id"], r["_y"], r["_text"] or ""))
-    return fit([(r["_text"] or "").encode("utf-8", "replace") for r in got], np.array([r["_y"] for r in got]))
+    return fit(encoded([r["_text"] for r in got]), np.array([r["_y"] for r in got]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,11 +113,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            s = sent.value.scores([("" if t is None else t).encode("utf-8", "replace") for t in batch["text"]])
-            yield pd.DataFrame({"id": batch["id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        s = sent.value.scores(encoded(texts))
+        return [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return append_columns(docs, text_col, [id_col], "score double, predicted int", run)
