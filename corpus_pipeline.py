@@ -29,8 +29,9 @@ def without(docs: DataFrame, dropped: DataFrame, bytes_per_row: int = 64) -> Dat
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go: those of no determined language."""
-    found = identify(docs, train(docs), keep=docs.columns)
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    found = identify(docs.withColumn("text_key", F.xxhash64("text")), train(docs), keep=["doc_id", "text_key"])
+    rejected = found.filter(F.col("lang_pred") == UNDETERMINED).select("doc_id", "text_key")
+    return without(docs.withColumn("text_key", F.xxhash64("text")), rejected).select(*docs.columns)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Keys of at most so many bytes are broadcast; larger key sets are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,9 +65,17 @@ def fold_split(column: Column, separators: str) -> Column:
     return F.filter(F.split(ascii_lower(column), separators), lambda w: w != "")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes, not only in rows, for texts may be long. A bound that the
+    session has already stays."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def append_columns(df: DataFrame, text_col: str, keep: list[str], fields: str, fn: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
     """The columns keep, untouched, and those of fields, which fn makes from the texts of a batch.
     Kept columns stay in Arrow, so nulls and large integers are safe."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

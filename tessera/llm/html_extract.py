@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: A comment, or a tag with its attributes; quoted values may hold ">".
 _MARKUP = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?>(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*))>|<[!?][^>]*>""")
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -192,6 +194,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
             texts = main_texts(batch.pop("_html").tolist())
             yield batch.assign(text=texts)
 
+    bound_batches(pages.sparkSession)
     rows = pages.select(*keep, F.coalesce(html_col, F.lit("")).alias("_html"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_html"]
     return rows.mapInPandas(run, ", ".join([*fields, "text string"]))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 CAPACITY = 2048
 #: Boundaries between small and large that are planned; the plan with fewest sequences is used.
@@ -69,6 +69,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern
                     out.append((k, p, start, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return rows.mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
