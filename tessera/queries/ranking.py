@@ -1 +1,260 @@
-"""Queries."""
+"""Ranking and whole recalls."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import scores as S
+from tessera.functions import text as T
+from tessera.operators import access as A
+from tessera.operators import graph as G
+from tessera.operators import ranking as R
+from tessera.plans import maintenance as P
+from tessera.plans import recall as C
+from tessera.queries import query
+from tessera.queries.graph import _LIVE, _WALK, pagerank_sql, seeds
+from tessera.queries.vectors import _COS, query_vector
+from tessera.sources.config import BETA, FLOOR, IMPORTANCE
+from tessera.sources.fixtures import NOW_MS
+
+TEXT = "the onion of thing and ereat"
+_WORDS = "['onion', 'thing', 'ereat']"
+
+
+def _case(values: dict[str, float], other: float) -> str:
+    return "case type " + " ".join(f"when '{k}' then {v}::double" for k, v in values.items()) + f" else {other}::double end"
+
+
+_IMP, _FLOOR, _BETA = _case(IMPORTANCE, 0.5), _case(FLOOR, 0.2), _case(BETA, 1.0)
+_DAYS = f"greatest(0.0::double, ({NOW_MS} - case when last_accessed_at > 0 then last_accessed_at else created_at end) / 86400000.0::double)"
+
+
+def _recency(weight: str) -> str:
+    return f"exp(-(ln(2.0::double) / (30.0::double * exp(1.5::double * {weight}))) * pow({_DAYS}, {_BETA}))"
+
+
+_FREQ = """case when access_count <= 1 then greatest(0, 1 - exp(-access_count / 5.0::double)) else greatest(0, least(1, (1 - exp(-access_count / 5.0::double)) *
+  (0.5 + 0.5 * exp(-(greatest(1.0::double, (last_accessed_at - created_at) / 86400000.0::double) / greatest(access_count - 1, 1)) / 30.0::double)))) end"""
+
+
+def _composite(weight: str) -> str:
+    return f"(0.4::double * {_recency(weight)} + 0.3::double * ({_FREQ}) + 0.3::double * greatest(0, least(1, {_IMP} * belief)))"
+
+
+def _norm(c: str) -> str:
+    return f"(case when max({c}) over () = min({c}) over () then 1.0::double else ({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) end)"
+
+
+@query("r01_min_max", f"select id, round({_norm('pagerank')}, 6) as score from fx_nodes")
+def _(fx):
+    return fx.nodes.select("id", F.round(S.min_max(F.col("pagerank")), 6).alias("score"))
+
+
+_CAND = "(select id, name, type, belief as semantic, success_count as ppr, pagerank, belief from fx_nodes where type = 'TASK' and status = 'active')"
+
+
+def _candidates(fx):
+    return A.active(fx.nodes).filter("type = 'TASK'").select("id", "name", "type", F.col("belief").alias("semantic"), F.col("success_count").alias("ppr"), "pagerank", "belief")
+
+
+@query("r02_blend", f"select id, round(0.5 * {_norm('semantic')} + 0.4 * {_norm('ppr')} + 0.1 * {_norm('pagerank')}, 6) as combined from {_CAND}")
+def _(fx):
+    return R.blended(_candidates(fx)).select("id", F.round("combined", 6).alias("combined"))
+
+
+@query("r02_blend_belief", f"select id, round(0.5 * {_norm('semantic')} + 0.25 * {_norm('ppr')} + 0.1 * {_norm('pagerank')} + 0.15 * {_norm('belief')}, 6) as combined from {_CAND}")
+def _(fx):
+    return R.blended(_candidates(fx), True).select("id", F.round("combined", 6).alias("combined"))
+
+
+@query("r03_top", f"select id from (select id, semantic, ppr, 0.5 * {_norm('semantic')} + 0.4 * {_norm('ppr')} + 0.1 * {_norm('pagerank')} as combined from {_CAND}) where combined > 0 or semantic > 0 or ppr > 0 order by round(combined, 9) desc, id limit 10")
+def _(fx):
+    return R.top(R.blended(_candidates(fx)), 10).select("id")
+
+
+@query("r04_hybrid", f"select id, round(case when belief = 0 then 0 else least(1, belief * (0.6 + 0.4 * case when list_bool_or(list_transform({_WORDS}, lambda w: contains(lower(concat_ws(' ', name, description, substr(content, 1, 200))), w))) then 1 else 0 end)) end, 6) as score from fx_nodes")
+def _(fx):
+    return fx.nodes.select("id", F.round(S.hybrid(F.col("belief"), T.keyword_hit(T.keywords(F.lit(TEXT)), T.node_text(200))), 6).alias("score"))
+
+
+@query("r05_tiers", f"select id, case when n <= 5 then 'L1' when n <= 10 then 'L2' when n <= 15 then 'L3' else 'filtered' end as tier from (select id, row_number() over (order by round(semantic, 9) desc, id) as n from {_CAND})")
+def _(fx):
+    return R.tiered(_candidates(fx), 15, "semantic").select("id", "tier")
+
+
+@query("r06_recency", f"select id, round({_recency(_IMP)}, 6) as recency from fx_nodes")
+def _(fx):
+    c = F.col
+    return fx.nodes.select("id", F.round(S.recency(c("type"), S.importance(c("type")), c("created_at"), c("last_accessed_at"), fx.now), 6).alias("recency"))
+
+
+@query("r07_frequency", f"select id, round({_FREQ}, 6) as frequency from fx_nodes")
+def _(fx):
+    return fx.nodes.select("id", F.round(S.frequency(F.col("access_count"), F.col("created_at"), F.col("last_accessed_at")), 6).alias("frequency"))
+
+
+@query("r08_intrinsic", f"select id, round({_IMP} * belief, 6) as intrinsic from fx_nodes")
+def _(fx):
+    return fx.nodes.select("id", F.round(S.importance(F.col("type")) * F.col("belief"), 6).alias("intrinsic"))
+
+
+@query("r09_composite", f"select id, round({_composite(_IMP)}, 6) as composite from fx_nodes")
+def _(fx):
+    return fx.nodes.select("id", F.round(R.composite(fx.now), 6).alias("composite"))
+
+
+@query("r10_boost", f"select id, round(belief * least(1, greatest(0.3, 0.3 + 0.7 * greatest({_FLOOR}, {_composite(_IMP)}))), 6) as score from fx_nodes")
+def _(fx):
+    return fx.nodes.select("id", F.round(S.boosted(F.col("belief"), F.col("type"), R.composite(fx.now)), 6).alias("score"))
+
+
+@query("r11_stale", f"select id from fx_nodes where {_composite(_IMP)} < 0.3")
+def _(fx):
+    return R.stale(fx.nodes, fx.now).select("id")
+
+
+@query("r12_decayed_tiers", f"select id, case when n <= 5 then 'L1' when n <= 10 then 'L2' when n <= 15 then 'L3' else 'filtered' end as tier, round(s, 6) as combined from (select id, s, row_number() over (order by round(s, 9) desc, id) as n from (select id, belief * (0.3 + 0.7 * greatest({_FLOOR}, {_composite('0.5::double')})) as s from fx_nodes))")
+def _(fx):
+    return R.with_decay(fx.nodes.withColumn("combined", F.col("belief")), fx.now).select("id", "tier", F.round("combined", 6).alias("combined"))
+
+
+_RANKED = f"""pool as materialized (select id, name, description, content, row_number() over (order by pagerank desc, validated_count desc, updated_at desc, id) as place from fx_nodes where status = 'active' order by place limit 20),
+  q as materialized (select embedding as e from embeddings where vec_id = 0),
+  vs as materialized (select node_id as id, {_COS.format(a='embedding', b='e')} as v from fx_vectors, q),
+  top as materialized (select id, v from vs where v > 0.35 and id in (select id from live) order by v desc, id limit 5),
+  gate as materialized (select pool.id, vs.v from pool left join vs on vs.id = pool.id where pool.id not in (select id from top) and (coalesce(vs.v, 0) >= 0.2 or len(list_filter({_WORDS}, lambda w: contains(lower(concat_ws(' ', name, description, substr(content, 1, 500))), w))) / 3.0 >= 0.25) order by place limit 3)"""
+
+
+def recall_sql() -> str:
+    """The whole recall, for a query with at least two vector seeds: here by a low threshold."""
+    walk = _WALK.format(most=1500).replace("select unnest(['n00000000', 'n00000014'])", "select id from top union all select id from gate")
+    return f"""with {_RANKED.replace('v > 0.35', 'v > 0.1')}, {pagerank_sql(_LIVE, 'fx_edges', 'select id from top')}, {walk},
+      c as materialized (select n.*, coalesce(pr.score, 0) as ppr, case when coalesce(a.v, 0) = 0 then 0 else least(1, a.v * (0.6 + 0.4 * case when list_bool_or(list_transform({_WORDS}, lambda w: contains(lower(concat_ws(' ', name, description, substr(content, 1, 200))), w))) then 1 else 0 end)) end as semantic
+        from fx_nodes n join reached r on r.id = n.id left join pr on pr.id = n.id left join (select * from top union all select * from gate) a on a.id = n.id where n.status = 'active'),
+      b as (select *, 0.5 * {_norm('semantic')} + 0.4 * {_norm('ppr')} + 0.1 * {_norm('pagerank')} as combined from c),
+      d as (select id, combined * (0.3 + 0.7 * greatest({_FLOOR}, {_composite('0.5::double')})) as s from b), o as (select id, s, row_number() over (order by round(s, 9) desc, id) as n from d)
+      select id, round(s, 6) as combined, case when n <= 5 then 'L1' when n <= 10 then 'L2' when n <= 15 then 'L3' else 'filtered' end as tier from o"""
+
+
+def recalled(fx, least: float = 0.1) -> C.Result:
+    from tessera.sources.config import Config
+
+    return C.recall(fx.nodes, fx.edges, fx.vectors, query_vector(fx), TEXT, fx.now, Config(min_score=least))
+
+
+def _live_first(sql: str) -> str:
+    """live is named by the pool's CTEs, so it comes first."""
+    head = "live as materialized (select id from fx_nodes where status = 'active')"
+    return sql.replace(head + ", ", "", 1).replace("with ", f"with {head}, ", 1)
+
+
+@query("r13_recall", _live_first(recall_sql()))
+def _(fx):
+    return recalled(fx).nodes.select("id", F.round("combined", 6).alias("combined"), "tier")
+
+
+@query("r13_recall_textual")
+def _(fx):
+    """Without vectors: text seeds, all semantic scores 0."""
+    return C.recall(fx.nodes, fx.edges, fx.vectors, None, TEXT, fx.now).nodes.select("id", F.round("combined", 6).alias("combined"), "tier")
+
+
+def _two(fx):
+    base = fx.nodes.select("id", "name", F.col("belief").alias("ppr"))
+    a = R.tiered(base.filter("cast(substr(id, 2) as int) % 2 = 0"), 30, "ppr")
+    return a, R.tiered(base.filter("cast(substr(id, 2) as int) % 3 = 0"), 60, "ppr")
+
+
+_TWO = """a as (select id, name, belief as ppr, row_number() over (order by round(belief, 9) desc, id) as place from fx_nodes where cast(substr(id, 2) as int) % 2 = 0), b as (select id, name, belief as ppr, row_number() over (order by round(belief, 9) desc, id) as place from fx_nodes where cast(substr(id, 2) as int) % 3 = 0),
+  u as (select *, 0 as src, case when place <= 10 then 'L1' when place <= 20 then 'L2' when place <= 30 then 'L3' else 'filtered' end as tier from a union all select *, 1, case when place <= 20 then 'L1' when place <= 40 then 'L2' when place <= 60 then 'L3' else 'filtered' end from b)"""
+
+
+@query("r14_merged_results", f"with {_TWO} select id, tier from (select *, row_number() over (partition by name order by case tier when 'L1' then 3 when 'L2' then 2 when 'L3' then 1 else 0 end desc, src, place) as n from u) where n = 1")
+def _(fx):
+    return R.merged_results(*_two(fx)).select("id", "tier")
+
+
+@query("r14_merged_edges", "select min(id) as id, from_id, to_id, name from fx_edges group by from_id, to_id, name")
+def _(fx):
+    e = fx.edges
+    return R.merged_edges(e.filter("name = 'uses'"), e).select("id", "from_id", "to_id", "name")
+
+
+@query("r15_explore", f"""with {_LIVE}, q as materialized (select embedding as e from embeddings where vec_id = 10),
+  near as materialized (select * from (select node_id as id, {_COS.format(a='embedding', b='e')} as v from fx_vectors, q where {_COS.format(a='embedding', b='e')} > 0.35 and node_id in (select id from live) order by v desc, id limit 5) where id <> 'n00000010'),
+  {pagerank_sql(_LIVE, 'fx_edges', "'n00000010'").split(', ', 1)[1]}, {_WALK.format(most=1500).replace("select unnest(['n00000000', 'n00000014'])", "'n00000010'")},
+  c as materialized (select n.*, coalesce(pr.score, 0) as ppr, coalesce(near.v, 0) as semantic from fx_nodes n join reached r on r.id = n.id left join pr on pr.id = n.id left join near on near.id = n.id where n.status = 'active'),
+  b as (select *, 0.5 * {_norm('semantic')} + 0.4 * {_norm('ppr')} + 0.1 * {_norm('pagerank')} as combined from c),
+  o as (select id, s, row_number() over (order by round(s, 9) desc, id) as n from (select id, combined * (0.3 + 0.7 * greatest({_FLOOR}, {_composite('0.5::double')})) as s from b))
+  select id, round(s, 6) as combined, case when n <= 5 then 'L1' when n <= 10 then 'L2' when n <= 15 then 'L3' else 'filtered' end as tier from o""")
+def _(fx):
+    v = fx.table("embeddings").filter("vec_id = 10").first()["embedding"]
+    return C.explore(fx.nodes, fx.edges, fx.vectors, seeds(fx, "n00000010"), v, fx.now).nodes.select("id", F.round("combined", 6).alias("combined"), "tier")
+
+
+@query("r16_display_scores", f"select id, round({_norm('ppr')}, 6) as display_ppr, round({_norm('pagerank')}, 6) as display_pagerank from {_CAND}")
+def _(fx):
+    return R.display_scores(_candidates(fx)).select("id", F.round("display_ppr", 6).alias("display_ppr"), F.round("display_pagerank", 6).alias("display_pagerank"))
+
+
+@query("r17_token_estimate", "select cast(ceil(sum(length(content) + length(description)) / 3.0) as bigint) as tokens from fx_nodes where type = 'TASK'")
+def _(fx):
+    return R.token_estimate(fx.nodes.filter("type = 'TASK'"))
+
+
+@query("r18_type_tables", f"select distinct type, {_IMP} as importance, {_FLOOR} as floor, {_BETA} as beta from fx_nodes")
+def _(fx):
+    t = F.col("type")
+    return fx.nodes.select("type", S.importance(t).alias("importance"), S.floor(t).alias("floor"), S.by_type(BETA, 1.0, t).alias("beta")).distinct()
+
+
+@query("r19_decayable", f"select id, {_IMP} as importance, round(belief, 6) as belief, access_count, last_accessed_at from fx_nodes")
+def _(fx):
+    return R.decayable(fx.nodes).select("id", "importance", F.round("belief", 6).alias("belief"), "access_count", "last_accessed_at")
+
+
+_PICK = "order by -ln(((concat('0x', substr(md5(concat('{seed}:', id)), 1, 12))::bigint)::double + 1) / 281474976710657.0::double) / exp(-0.33::double * greatest(0.0::double, ({now} - {at}) / 86400000.0::double)), id limit 1"
+
+
+@query("z07_weighted_pick", f"select id from fx_nodes where status = 'active' {_PICK.format(seed='night', now=NOW_MS, at='created_at')}")
+def _(fx):
+    return R.picked(A.active(fx.nodes), "created_at", fx.now, "night").select("id")
+
+
+@query("z08_dream")
+def _(fx):
+    return C.dream(fx.nodes, fx.edges, fx.vectors, fx.recalled, fx.now, "night").nodes.select("id", "name", "type")
+
+
+@query("h07_gated_anchors", f"with {_LIVE}, {_RANKED} select id from gate")
+def _(fx):
+    from pyspark.sql import Window
+
+    from tessera.operators import vectors as V
+
+    top = V.top_k(fx.nodes, fx.vectors, query_vector(fx), 5).select(F.col("node_id").alias("id"))
+    pool = A.top_nodes(fx.nodes, 20).withColumn("place", F.row_number().over(Window.orderBy(*A.top_order()))).withColumn("overlap", T.keyword_overlap(T.keywords(F.lit(TEXT)), T.node_text(500)))
+    sims = V.similarities(fx.vectors, query_vector(fx)).select(F.col("node_id").alias("id"), F.col("score").alias("semantic"))
+    return G.gated_anchors(pool.join(sims, "id", "left"), top, 15).select("id")
+
+
+@query("z01_maintenance")
+def _(fx):
+    """The tables after retention, merging and ranking, as counts, with the report's row."""
+    v = fx.vectors.drop("label")
+    t = P.Tables(fx.nodes, fx.edges, v, fx.messages, fx.recalled)
+    protected = fx.spark.createDataFrame([("s0",), ("s1",)], "session_id string")
+    t, report = P.maintain(t, protected, fx.now, 10)
+    counts = [getattr(t, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n") for n in ("nodes", "edges", "messages", "recalled")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.unionByName(report.select(F.lit("checked").alias("what"), F.col("checked").alias("n")))
+
+
+@query("z02_report", f"select * from (select 'node' as what, id as a, '' as b, round(pagerank, 6) as value from fx_nodes where status = 'active' order by pagerank desc, validated_count desc, updated_at desc, id limit 5) union all select * from (select 'pair', a.node_id, b.node_id, round({_COS.format(a='a.embedding', b='b.embedding')}, 6) from fx_neardup a join fx_neardup b on a.label = b.label and a.node_id < b.node_id where a.node_id like 'n%' and b.node_id like 'x%' and substr(a.node_id, 2) = substr(b.node_id, 2) order by {_COS.format(a='a.embedding', b='b.embedding')} desc, a.node_id limit 5)")
+def _(fx):
+    from tessera.operators.neardup import all_pairs
+
+    pairs = all_pairs(fx.neardup.select("node_id", "embedding", F.col("label").cast("string").alias("type")))
+    return P.top_report(pairs, fx.nodes).withColumn("value", F.round("value", 6))
