@@ -47,7 +47,7 @@ def word_hashes(texts: list[bytes], word_bytes: np.ndarray, stems: tuple[int, ..
         return h, bounds, *(mix(np.add.reduceat(np.where(place < k, terms, 0), first) ^ np.uint64(k)) for k in stems)
 
 
-def chunks(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most so many bytes together, or one longer text."""
     begin, size = 0, 0
     for k, t in enumerate(texts):

@@ -28,7 +28,7 @@ ORDER = 3
 #: Bound on the training sample: rows per language, taken by hash of their id.
 ROWS_PER_LANGUAGE = 300
 #: Bytes that are scored at once.
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 UNDETERMINED = "und"
 
 
