@@ -41,7 +41,7 @@ def blended(semantic: Column, ppr: Column, pagerank: Column, alpha: float = 0.5,
 
 def hybrid(vector: Column, hit: Column, weight: float = 0.4) -> Column:
     """The vector score, lower where no keyword occurs."""
-    return F.when(vector == 0, 0.0).otherwise(F.least(F.lit(1.0), vector * (F.lit(1 - weight) + hit * weight)))
+    return F.when(F.coalesce(vector, F.lit(0.0)) == 0, 0.0).otherwise(F.least(F.lit(1.0), vector * (F.lit(1 - weight) + hit * weight)))
 
 
 def by_type(values: dict[str, float], other: float, kind: Column) -> Column:

@@ -42,16 +42,18 @@ def walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, m
 
 
 def _kernel(damping: float, iterations: int, personal: bool):
+    nothing = pd.DataFrame({"id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
+
     def rank(key, adj: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         if not len(nodes):
-            return pd.DataFrame({"id": [], "score": []})
+            return nothing
         ids = nodes["id"].to_numpy()
         place = pd.Index(ids)
         src, dst, w = place.get_indexer(adj["src"]), place.get_indexer(adj["dst"]), adj["w"].to_numpy(float)
         degree = np.bincount(src, w, len(ids))
         teleport = nodes["seed"].to_numpy(float) if personal else np.ones(len(ids))
         if not teleport.sum():
-            return pd.DataFrame({"id": [], "score": []})
+            return nothing
         teleport /= teleport.sum()
         p = w / degree[src]
         score = teleport.copy()
