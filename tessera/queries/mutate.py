@@ -12,7 +12,7 @@ from tessera.sources.fixtures import NOW_MS
 
 def _incoming(fx):
     """Known and new names, some twice."""
-    d = fx.table("documents").select((F.col("doc_id") % 60).alias("k"), F.col("doc_id").alias("seq"), F.substring("text", 1, 30).alias("content"))
+    d = fx.table("documents").select((F.col("doc_id") % 60).alias("k"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
     name = F.when(F.col("k") < 40, F.concat(F.lit("Doc_"), F.col("k"))).otherwise(F.concat(F.lit("new "), F.col("k")))
     return d.select(name.alias("name"), F.lit("SKILL").alias("type"), F.concat(F.lit("d"), F.col("seq")).alias("description"), "content", F.concat(F.lit("s"), F.col("seq") % 3).alias("session_id"), F.array(F.when(F.col("seq") % 2 == 0, "hot").otherwise("x")).alias("flags"), "seq")
 

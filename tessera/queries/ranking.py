@@ -161,11 +161,11 @@ def _(fx):
 
 def _two(fx):
     base = fx.nodes.select("id", "name", F.col("belief").alias("ppr"))
-    a = R.tiered(base.filter("cast(substr(id, 2) as int) % 2 = 0"), 30, "ppr")
-    return a, R.tiered(base.filter("cast(substr(id, 2) as int) % 3 = 0"), 60, "ppr")
+    a = R.tiered(base.filter("type in ('TASK', 'SKILL', 'EVENT', 'TOPIC')"), 30, "ppr")
+    return a, R.tiered(base.filter("type in ('TASK', 'KNOWLEDGE', 'STATUS', 'EVENT')"), 60, "ppr")
 
 
-_TWO = """a as (select id, name, belief as ppr, row_number() over (order by round(belief, 9) desc, id) as place from fx_nodes where cast(substr(id, 2) as int) % 2 = 0), b as (select id, name, belief as ppr, row_number() over (order by round(belief, 9) desc, id) as place from fx_nodes where cast(substr(id, 2) as int) % 3 = 0),
+_TWO = """a as (select id, name, belief as ppr, row_number() over (order by round(belief, 9) desc, id) as place from fx_nodes where type in ('TASK', 'SKILL', 'EVENT', 'TOPIC')), b as (select id, name, belief as ppr, row_number() over (order by round(belief, 9) desc, id) as place from fx_nodes where type in ('TASK', 'KNOWLEDGE', 'STATUS', 'EVENT')),
   u as (select *, 0 as src, case when place <= 10 then 'L1' when place <= 20 then 'L2' when place <= 30 then 'L3' else 'filtered' end as tier from a union all select *, 1, case when place <= 20 then 'L1' when place <= 40 then 'L2' when place <= 60 then 'L3' else 'filtered' end from b)"""
 
 

@@ -50,12 +50,12 @@ def _(fx):
     return R.knowledge_graph(tiered(fx), fx.edges).select("xml")
 
 
-_S = f"t as (select id, type, name, description, content, belief, updated_at, case when list_has_any({_FLAGS}, ['scope_hot:click', 'scope_hot:view']) then 'scope_hot' when list_contains({_FLAGS}, 'hot') then 'hot' when type = 'TASK' and id < 'n00000040' then 'active' end as tier from fx_nodes where status = 'active')"
+_S = f"t as (select id, type, name, description, content, belief, updated_at, case when list_has_any({_FLAGS}, ['scope_hot:click', 'scope_hot:view']) then 'scope_hot' when list_contains({_FLAGS}, 'hot') then 'hot' when type = 'TASK' then 'active' end as tier from fx_nodes where status = 'active')"
 
 
 def sources(fx):
     nodes = fx.nodes.select("id", "type", "name", "description", "content", "belief", "pagerank", "updated_at", "flags", "status")
-    return A.scope_hot(nodes, ["click", "view"]), A.hot(nodes), A.active(nodes).filter("type = 'TASK' and id < 'n00000040'")
+    return A.scope_hot(nodes, ["click", "view"]), A.hot(nodes), A.active(nodes).filter("type = 'TASK'")
 
 
 @query("f01_merged_tiers", f"with {_S} select id, tier from t where tier is not null")
@@ -84,11 +84,11 @@ def _(fx):
     return R.recall_index(tiered(fx), A.hot(fx.nodes))
 
 
-@query("x04_extraction_graph", f"""with {_T.replace('t as', 'r as', 1)}, t as (select * exclude (tier), case when tier = 'filtered' or tier = 'L3' and id < 'n00000100' then 'L2' else tier end as tier from r where type not in ('TOPIC', 'SESSION') and (tier <> 'filtered' or id < 'n00000100')),
+@query("x04_extraction_graph", f"""with {_T.replace('t as', 'r as', 1)}, t as (select * exclude (tier), case when tier = 'filtered' or tier = 'L3' and own then 'L2' else tier end as tier from (select *, list_contains(json_extract_string(source_sessions::json, '$[*]'), 's3') as own from r) where type not in ('TOPIC', 'SESSION') and (tier <> 'filtered' or own)),
   {_EDGE} select concat('<knowledge_graph>', chr(10), string_agg({element("concat(' tier=" + chr(34) + "', lower(tier), '" + chr(34) + "')")}, chr(10) order by id), any_value({_INNER.format(o='id', w="where ta in ('L1', 'L2') or tb in ('L1', 'L2')")}), chr(10), '</knowledge_graph>') as xml from t""")
 def _(fx):
     rows = tiered(fx)
-    return R.extraction_graph(rows.filter("id < 'n00000100'"), rows, fx.edges)
+    return R.extraction_graph(rows.join(A.of_session(fx.nodes, "s3").select("id"), "id", "left_semi"), rows, fx.edges)
 
 
 _EA = "replace({c}, '''', '&apos;')"

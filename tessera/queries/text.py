@@ -30,9 +30,9 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _BREAKS = T.KEYWORD_BREAKS.replace("'", "''")
 
 
-@query("s05_keywords", rf"select doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 400)), '{_BREAKS}'), lambda w: length(w) > 1 and not list_contains({_STOP}, w) and not regexp_matches(w, '^[0-9]+$')))) as words from documents")
+@query("s05_keywords", rf"select doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '{_BREAKS}'), lambda w: length(w) > 1 and not list_contains({_STOP}, w) and not regexp_matches(w, '^[0-9]+$')))) as words from documents")
 def _(fx):
-    return fx.table("documents").select("doc_id", F.array_sort(T.keywords(F.substring("text", 1, 400))).alias("words"))
+    return fx.table("documents").select("doc_id", F.array_sort(T.keywords(F.col("text"))).alias("words"))
 
 
 _Q = "the of onion and thing this re"
@@ -84,10 +84,10 @@ def _(fx):
     return fx.messages.select("id", T.prepended(F.col("content"), F.when(F.col("turn_index") % 2 == 0, "note").otherwise("  ")).alias("content"))
 
 
-@query("s13_message_text", "select id, trim(concat(substr(content, 1, 20), chr(10), role)) as text from fx_messages")
+@query("s13_message_text", "select id, trim(concat(content, chr(10), role)) as text from fx_messages")
 def _(fx):
     block = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("text"))
-    blocks = F.array(block("text", F.substring("content", 1, 20)), block("thinking", F.lit("hidden")), block("text", F.col("role")))
+    blocks = F.array(block("text", F.col("content")), block("thinking", F.lit("hidden")), block("text", F.col("role")))
     return fx.messages.select("id", T.text_blocks(blocks).alias("text"))
 
 
@@ -110,9 +110,9 @@ def _(fx):
     return rendered(talk(fx.messages), 500, False, "...(truncated {} chars)")
 
 
-@query("s16_escape_xml", "select doc_id, replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as a, replace(replace(replace(replace(replace(concat('it''s ', substr(text, 1, 50)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as b from documents")
+@query("s16_escape_xml", "select doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as a, replace(replace(replace(replace(replace(concat('it''s ', text), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as b from documents")
 def _(fx):
-    return fx.table("documents").select("doc_id", T.escaped(F.substring("text", 1, 200)).alias("a"), T.escaped(F.concat(F.lit("it's "), F.substring("text", 1, 50)), True).alias("b"))
+    return fx.table("documents").select("doc_id", T.escaped(F.col("text")).alias("a"), T.escaped(F.concat(F.lit("it's "), "text"), True).alias("b"))
 
 
 @query("s17_tokens", "select doc_id, cast(ceil(length(text) / 3.0) as bigint) as tokens from documents")
@@ -167,9 +167,8 @@ def _(fx):
     return S.search(fx.nodes, "  ").select("id")
 
 
-@query("z05_index_update", r"""with d as (select id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', name, description, case when id = 'n00000001' then 'new words here' else content end)), '[^\p{L}\p{N}]+'), lambda w: w <> '')) as term from fx_nodes where id < 'n00000040')
+@query("z05_index_update", r"""with d as (select id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', name, description, case when id = 'n00000001' then 'new words here' else content end)), '[^\p{L}\p{N}]+'), lambda w: w <> '')) as term from fx_nodes)
   select id, term, count(*) as tf from d group by id, term""")
 def _(fx):
-    some = fx.nodes.filter("id < 'n00000040'")
-    changed = some.filter("id = 'n00000001'").withColumn("content", F.lit("new words here"))
-    return S.updated_index(S.index(some), changed).select("id", "term", "tf")
+    changed = fx.nodes.filter("id = 'n00000001'").withColumn("content", F.lit("new words here"))
+    return S.updated_index(S.index(fx.nodes), changed).select("id", "term", "tf")
