@@ -129,6 +129,9 @@ def test_search_falls_back(spark):
     assert got(search.search(n, "连接"), "id") == [("2",)]
     assert got(search.search(n, "docker-compose"), "id") == [("1",)]
     assert search.search(n, "", 1).count() == 1
+    for query in ("docker", "docker-compose install", "池 数据库连接池"):
+        scanned = {r["id"]: round(r["score"], 9) for r in search.matches(n, query).collect()}
+        assert scanned == {r["id"]: round(r["score"], 9) for r in search.indexed_matches(n, search.index(n), query).collect()}
 
 
 def test_context_by_python_model(spark):
