@@ -12,6 +12,7 @@ GUIDANCE = (
     "The entries below were recorded in earlier sessions. They are hints, not facts: check them before relying on them. "
     "Fields of an entry: name, desc, source, tier, confidence (0 to 1), updated."
 )
+SCOPE_GUIDANCE = " Entries of tier scope_hot belong to this session's scope and are always shown."
 
 
 def joined(df: DataFrame, line: str, order: list[str], separator: str = "\n") -> DataFrame:
@@ -82,6 +83,13 @@ def knowledge_graph(nodes: DataFrame, edges: DataFrame | None, confidence: bool
     return body.select(xml.alias("xml")).withColumn("tokens", F.coalesce(F.ceil(F.char_length("xml") / CHARS_PER_TOKEN), F.lit(0)).cast("long"))
 
 
+def guidance(nodes: DataFrame, force: bool = False) -> DataFrame:
+    """One row, text: how to read the shown nodes (tier); empty without any, unless forced."""
+    shown = F.count_if(F.col("tier") != "filtered")
+    scoped = F.when(F.count_if(F.col("tier") == "scope_hot") > 0, SCOPE_GUIDANCE).otherwise("")
+    return nodes.agg(F.when((shown > 0) | F.lit(force), F.concat(F.lit(GUIDANCE), scoped)).otherwise("").alias("text"))
+
+
 def stable_context(scope_hot: DataFrame, hot: DataFrame, active: DataFrame) -> DataFrame:
     """Sorted, without edges and volatile fields, so that a prompt's beginning stays the same."""
     none = scope_hot.withColumn("tier", F.lit("filtered")).limit(0)

@@ -187,6 +187,25 @@ class Engine:
         active = access.of_session(nodes, session_id).limit(0 if not self.config.compact_enabled else 2**31 - 1)
         return rendering.stable_context(access.scope_hot(nodes, scopes), access.hot(nodes), M.compacted(active, self.config.compact_max))
 
+    def induce_session(self, session_id: str, answers: DataFrame) -> None:
+        """answers: raw, seq - a model's summary of the session. It becomes the session's node, with a
+        plain sentence where the model gave none, and active nodes of the session link to it."""
+        now = self.clock()
+        p = extraction.session_summary(answers)
+        plain = F.lit(f"session {session_id}")
+        some = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(plain)
+        rows = p.select(F.lit(f"session-{session_id}").alias("name"), F.lit("SESSION").alias("type"), some("description").alias("description"), some("summary").alias("content"), F.lit(session_id).alias("session_id"), F.array().cast("array<string>").alias("flags"), "seq")
+        nodes = mutate.upsert_nodes(self.table("nodes"), rows, now)
+        own = access.active(nodes).filter(F.array_contains("source_sessions", session_id)).withColumn("session_id", F.lit(session_id))
+        links = mutate.session_links(own.filter("type <> 'SESSION'"), own.filter("type = 'SESSION'"))
+        self.store.commit({"nodes": nodes, "edges": mutate.upsert_edges(self.table("edges"), links, nodes, now)})
+
+    def end_session(self, session_id: str, final: DataFrame, summary: DataFrame, protected: DataFrame) -> DataFrame:
+        """What follows a session's end, one step after another; the maintenance report."""
+        self.finalize(session_id, final)
+        self.induce_session(session_id, summary)
+        return self.maintain(protected)
+
     def finalize(self, session_id: str, answers: DataFrame) -> None:
         """A session's end: promoted skills, links, invalid nodes; then support for what it used."""
         now = self.clock()

@@ -80,6 +80,13 @@ def _(fx):
     return X.session_summary(fx.spark.createDataFrame([("a", 'ok {"description":" short ","summary":"long"}'), ("b", "none")], "id string, raw string")).drop("raw")
 
 
+@query("x09_session_node", "select name, type, validated_count from (values ('session-s1', 'SESSION', 2::bigint)) v(name, type, validated_count)")
+def _(fx):
+    p = X.session_summary(fx.spark.createDataFrame([('{"description":"d","summary":"s"}', 0), ('{"description":"e","summary":"t"}', 1)], "raw string, seq int"))
+    rows = p.select(F.lit("session s1").alias("name"), F.lit("SESSION").alias("type"), "description", F.col("summary").alias("content"), F.lit("s1").alias("session_id"), F.array().cast("array<string>").alias("flags"), "seq")
+    return M.upsert_nodes(fx.nodes.limit(0), rows, fx.now).filter("content = 't'").select("name", "type", "validated_count")
+
+
 @query("x13_advice", "select 'use-redis' as node_name, 'write docs' as suggestion")
 def _(fx):
     advice = X.extraction(answers(fx)).select(F.inline("advice"))

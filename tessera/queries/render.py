@@ -79,6 +79,16 @@ def _(fx):
     return R.dynamic_context(tiered(fx), fx.edges, A.hot(fx.nodes)).select("xml")
 
 
+@query("f07_guidance", f"with {_S} select 'shown' as what, cast(length('{R.GUIDANCE}') + length('{R.SCOPE_GUIDANCE.replace(chr(39), chr(39) * 2)}') as bigint) as n union all select 'nothing', 0 union all select 'forced', length('{R.GUIDANCE}')")
+def _(fx):
+    s, h, a = sources(fx)
+    some = R.merged_tiers(s, h, s.withColumn("tier", F.lit("L1")).limit(0), a)
+    n = F.char_length("text").cast("long").alias("n")
+    out = R.guidance(some).select(F.lit("shown").alias("what"), n)
+    out = out.unionByName(R.guidance(some.limit(0)).select(F.lit("nothing").alias("what"), n))
+    return out.unionByName(R.guidance(some.limit(0), True).select(F.lit("forced").alias("what"), n))
+
+
 @query("f06_recall_index", f"with {_T} select concat('<knowledge_graph>', chr(10), string_agg(concat('  <', lower(type), ' name=\"', {e('name')}, '\"', case when tier = 'L1' then concat(' desc=\"', {e('description')}, '\"') else '' end, ' source=\"recalled\" tier=\"', lower(tier), '\"/>'), chr(10) order by n, id), chr(10), '</knowledge_graph>') as xml from t where tier in ('L1', 'L2') and not list_contains({_FLAGS}, 'hot')")
 def _(fx):
     return R.recall_index(tiered(fx), A.hot(fx.nodes))

@@ -242,6 +242,11 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.table("edges").count() == 1
     engine.finalize("s1", spark.createDataFrame([('{"promotedSkills":[{"name":"Cache well","content":"c"}],"newEdges":[],"invalidations":[]}', 0)], "raw string, seq int"))
     assert engine.table("belief_signals").count() > 0
+    none = spark.createDataFrame([("nothing to say", 0)], "raw string, seq int")
+    report = engine.end_session("s1", none, none, spark.createDataFrame([("s1",)], "session_id string")).first()
+    assert report["merged"] == 0 and got(engine.table("nodes").filter("type = 'SESSION'"), "name", "content") == [("session-s1", "session s1")]
+    assert engine.table("edges").filter("name = '属于会话'").count() == 2
+    engine.remove("session s1")
     engine.remove("ops")
     assert engine.stats().filter("what = 'nodes'").first()["n"] == 2
     with pytest.raises(KeyError):
