@@ -78,10 +78,10 @@ def pagerank(nodes: DataFrame, adj: DataFrame, seeds: DataFrame | None = None, d
     else:
         marked = ids.join(seeds.select("id").distinct().withColumn("seed", F.lit(1.0)), "id", "left").na.fill(0.0, ["seed"])
     adj = materialized(adj, "adjacency")
-    marked = materialized(marked, "teleport")
-    if adj.count() + marked.count() <= kernel_rows:
+    if adj.count() + ids.count() <= kernel_rows:
         left, right = adj.withColumn("all", F.lit(1)).groupBy("all"), marked.withColumn("all", F.lit(1)).groupBy("all")
         return left.cogroup(right).applyInPandas(_kernel(damping, iterations, seeds is not None), "id string, score double")
+    marked = materialized(marked, "teleport")
     total = marked.agg(F.sum("seed")).first()[0]
     if not total:
         return ids.withColumn("score", F.lit(0.0)).limit(0)

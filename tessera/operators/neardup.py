@@ -17,14 +17,14 @@ def blocked(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """df (node_id, embedding, type) with norm, and its block within the type; the number of blocks
     follows from each type's count."""
     n = df.groupBy("type").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    return df.join(F.broadcast(n), "type").withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).withColumn("norm", norm(F.col("embedding")))
+    return df.join(n, "type").withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).withColumn("norm", norm(F.col("embedding")))
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered: bool) -> DataFrame:
     """a, b, type, similarity of pairs of a type at or above the threshold. Each left row meets each
     block of the right side by an equi-join on (type, block)."""
     blocks = right.groupBy("type", "block").agg(F.lit(1).alias("_"), F.count("*").alias("_n")).select("type", F.col("block").alias("other"))
-    a = left.join(F.broadcast(blocks), "type").select(F.col("node_id").alias("a"), F.col("embedding").alias("ea"), F.col("norm").alias("na"), "type", F.col("other").alias("block"))
+    a = left.join(blocks, "type").select(F.col("node_id").alias("a"), F.col("embedding").alias("ea"), F.col("norm").alias("na"), "type", F.col("other").alias("block"))
     b = right.select(F.col("node_id").alias("b"), F.col("embedding").alias("eb"), F.col("norm").alias("nb"), "type", "block")
     similarity = dot(F.col("ea"), F.col("eb")) / (F.col("na") * F.col("nb") + F.lit(EPSILON))
     pairs = a.join(b, ["type", "block"]).filter("a < b" if ordered else "a <> b").withColumn("similarity", similarity)
