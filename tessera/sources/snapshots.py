@@ -38,27 +38,34 @@ def _path(spark: SparkSession, path: str, use):
 
 
 class Store:
-    """Versions of named tables below a root path, on any Hadoop file system."""
+    """Versions of named tables below a root path, on any Hadoop file system. A version's pointer is a
+    small file that lists the folders of its rows; the latest pointer counts."""
 
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
 
-    def _pointers(self, table: str) -> list[str]:
+    def versions(self, table: str) -> list[str]:
+        """Pointers' names, oldest first: a running number and a version."""
+
         def names(fs, at):
             return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
         return _path(self.spark, f"{self.root}/{table}/_current", names)
 
     def version(self, table: str) -> str | None:
-        """The latest pointer's version."""
-        found = self._pointers(table)
+        found = self.versions(table)
         return found[-1].split("-", 1)[1] if found else None
 
+    def _folders(self, table: str, version: str | None = None) -> list[str]:
+        """The folders of a version, or of the latest one."""
+        found = [v for v in self.versions(table) if version is None or v.split("-", 1)[1] == version]
+        return [r[0] for r in self.spark.read.text(f"{self.root}/{table}/_current/{found[-1]}").collect() if r[0]] if found else []
+
     def read(self, table: str) -> DataFrame:
-        version = self.version(table)
-        if version is None:
+        folders = self._folders(table)
+        if not folders:
             return self.spark.createDataFrame([], self.schemas[table])
-        return conformed(self.spark.read.parquet(f"{self.root}/{table}/{version}"), self.schemas[table])
+        return conformed(self.spark.read.parquet(*(f"{self.root}/{table}/{f}" for f in folders)), self.schemas[table])
 
     def commit(self, changes: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
         """Writes new versions of all tables first; pointers move only when all writes are done."""
@@ -67,12 +74,26 @@ class Store:
             written[table] = uuid.uuid4().hex
             conformed(df, self.schemas[table]).write.partitionBy(*(partition_by or {}).get(table, [])).parquet(f"{self.root}/{table}/{written[table]}")
         for table, version in written.items():
-            self._point(table, version)
+            self._point(table, version, [version])
         return written
 
-    def _point(self, table: str, version: str) -> None:
-        n = len(self._pointers(table))
-        _path(self.spark, f"{self.root}/{table}/_current/{n:010d}-{version}", lambda fs, p: fs.create(p, False).close())
+    def append(self, table: str, rows: DataFrame, token: str) -> bool:
+        """A version with the rows added, which alone are written. A token is appended once: when the
+        same work runs again, nothing changes and False is returned."""
+        if any(v.split("-", 1)[1] == token for v in self.versions(table)):
+            return False
+        before = self._folders(table)
+        conformed(rows, self.schemas[table]).write.mode("overwrite").parquet(f"{self.root}/{table}/{token}")
+        self._point(table, token, [*before, token])
+        return True
+
+    def _point(self, table: str, version: str, folders: list[str]) -> None:
+        def write(fs, at):
+            out = fs.create(at, False)
+            out.write(bytearray("\n".join(folders).encode()))
+            out.close()
+
+        _path(self.spark, f"{self.root}/{table}/_current/{len(self.versions(table)):010d}-{version}", write)
 
     def roll_back(self, table: str, version: str) -> None:
-        self._point(table, version)
+        self._point(table, version, self._folders(table, version))

@@ -27,15 +27,16 @@ def drained(stream: DataFrame, take: Callable[[DataFrame, int], None], checkpoin
     query.awaitTermination()
 
 
-def ingest(stream: DataFrame, store: Store, checkpoint: str, clock: Callable[[int], int], tag: str = "memory") -> None:
-    """stream: session_id, role, content, seq. Batches are committed one after another: each message
-    gets its session's next turn, without an injected block. A batch that runs again after a loss
-    changes nothing, for ids follow from session and turn and known ids are ignored."""
+def ingest(stream: DataFrame, store: Store, checkpoint: str, clock: Callable[[int], int], name: str = "ingest", tag: str = "memory") -> None:
+    """stream: session_id, role, content, seq. Batches are appended one after another: each message
+    gets its session's next turn, without an injected block. Only the batch's sessions are looked up,
+    and only its rows are written. A batch that runs again after a loss is known by its number and
+    changes nothing."""
 
     def take(batch: DataFrame, number: int) -> None:
-        known = store.read("messages")
+        known = store.read("messages").join(batch.select("session_id").distinct(), "session_id", "left_semi")
         rows = M.ingested(known, batch.withColumn("content", T.without_memory_block(F.col("content"), tag)), clock(number))
-        store.commit({"messages": known.unionByName(rows.select(*known.columns))})
+        store.append("messages", rows, f"{name}-{number}")
 
     drained(stream, take, checkpoint)
 

@@ -18,7 +18,8 @@ from tessera.operators import search
 from tessera.operators import vectors as V
 from tessera.plans.engine import Engine
 from tessera.sources.config import Config, clamp, names
-from tessera.sources.schemas import NODES
+from tessera.sources.schemas import NODES, TABLES
+from tessera.sources.snapshots import Store
 from tessera.streaming import sessions as E
 
 EDGE = "id string, from_id string, to_id string, name string, description string, session_id string, created_at bigint"
@@ -215,6 +216,16 @@ def test_deadline_cancels(spark):
     assert E.with_deadline(spark, 60, lambda: spark.range(3).count()) == 3
 
 
+def test_appending_twice_changes_nothing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/t", TABLES)
+    rows = spark.createDataFrame([("alpha", "s1", 1)], TABLES["scopes"])
+    first = store.commit({"scopes": rows})["scopes"]
+    assert store.append("scopes", rows, "batch-0") and not store.append("scopes", rows, "batch-0")
+    assert store.read("scopes").count() == 2
+    store.roll_back("scopes", first)
+    assert store.read("scopes").count() == 1
+
+
 def test_text_helpers(spark):
     def one(c):
         return spark.range(1).select(c).first()[0]
