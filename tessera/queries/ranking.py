@@ -125,10 +125,18 @@ _RANKED = f"""pool as materialized (select id, name, description, content, row_n
   gate as materialized (select pool.id, vs.v from pool left join vs on vs.id = pool.id where pool.id not in (select id from top) and (coalesce(vs.v, 0) >= 0.2 or len(list_filter({_WORDS}, lambda w: contains(lower(concat_ws(' ', name, description, substr(content, 1, 500))), w))) / 3.0 >= 0.25) order by place limit 3)"""
 
 
-def recall_sql() -> str:
-    """The whole recall, for a query with at least two vector seeds: here by a low threshold."""
+#: Seeds of a recall without vectors: the best five text matches.
+_TEXTUAL = r"""words as materialized (select id, status, list_filter(regexp_split_to_array(lower(concat_ws(' ', name, description, content)), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from fx_nodes),
+  st as (select count(*)::double as n, avg(len(w)) as mean from words), tf as materialized (select id, status, len(w) as len, t, len(list_filter(w, lambda x: x = t)) as tf from words, (select unnest(['the', 'onion', 'of', 'thing', 'and', 'ereat']) as t) q),
+  df as (select t, count(*) as df from tf where tf > 0 group by t),
+  sc as (select id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from tf join df using (t), st where tf > 0 and status = 'active' group by id),
+  top as materialized (select id, 0.0::double as v from sc order by round(score, 6) desc, id limit 5), gate as materialized (select * from top where false)"""
+
+
+def recall_sql(seeds: str = _RANKED.replace("v > 0.35", "v > 0.1")) -> str:
+    """The whole recall, by default for a query with at least two vector seeds, by a low threshold."""
     walk = _WALK.format(most=1500).replace("select unnest(['n00000000', 'n00000014'])", "select id from top union all select id from gate")
-    return f"""with {_RANKED.replace('v > 0.35', 'v > 0.1')}, {pagerank_sql(_LIVE, 'fx_edges', 'select id from top')}, {walk},
+    return f"""with {seeds}, {pagerank_sql(_LIVE, 'fx_edges', 'select id from top')}, {walk},
       c as materialized (select n.*, coalesce(pr.score, 0) as ppr, case when coalesce(a.v, 0) = 0 then 0 else least(1, a.v * (0.6 + 0.4 * case when list_bool_or(list_transform({_WORDS}, lambda w: contains(lower(concat_ws(' ', name, description, substr(content, 1, 200))), w))) then 1 else 0 end)) end as semantic
         from fx_nodes n join reached r on r.id = n.id left join pr on pr.id = n.id left join (select * from top union all select * from gate) a on a.id = n.id where n.status = 'active'),
       b as (select *, 0.5 * {_norm('semantic')} + 0.4 * {_norm('ppr')} + 0.1 * {_norm('pagerank')} as combined from c),
@@ -153,7 +161,7 @@ def _(fx):
     return recalled(fx).nodes.select("id", F.round("combined", 6).alias("combined"), "tier")
 
 
-@query("r13_recall_textual")
+@query("r13_recall_textual", _live_first(recall_sql(_TEXTUAL)))
 def _(fx):
     """Without vectors: text seeds, all semantic scores 0."""
     return C.recall(fx.nodes, fx.edges, fx.vectors, None, TEXT, fx.now).nodes.select("id", F.round("combined", 6).alias("combined"), "tier")
@@ -238,7 +246,12 @@ def _(fx):
     return G.gated_anchors(pool.join(sims, "id", "left"), top, 15).select("id")
 
 
-@query("z01_maintenance")
+_OLD = f"created_at < {NOW_MS} - 10 * 86400000 and session_id not in ('s0', 's1')"
+
+
+@query("z01_maintenance", f"""select 'nodes' as what, count(*) as n from fx_nodes union all select 'edges', count(*) from (select distinct from_id, to_id, name from fx_edges where from_id <> to_id)
+  union all select 'messages', count(*) from fx_messages where not ({_OLD}) union all select 'recalled', count(*) from fx_recalled where not ({_OLD})
+  union all select 'checked', count(*) from fx_vectors v join fx_nodes n on n.id = v.node_id where n.status = 'active' and v.dedup_checked_at < v.updated_at""")
 def _(fx):
     """The tables after retention, merging and ranking, as counts, with the report's row."""
     v = fx.vectors.drop("label")
