@@ -64,30 +64,38 @@ def comparisons(pending: DataFrame, checked: DataFrame) -> DataFrame:
     return p.join(c, "type", "left").select("type", F.expr("p * (p - 1) div 2 + p * coalesce(c, 0)").alias("n"))
 
 
-def greedy_merges(pairs: DataFrame, nodes: DataFrame, budget: int = 200) -> DataFrame:
-    """merge_id, keep_id, similarity, step. Best pairs first; a pair with a merged node is skipped;
-    the more validated node stays, else the newer, else a; counts grow as merges go. The order
-    matters, so the pairs, which a budget bounds, go through one task."""
+def merge_steps(pairs: DataFrame, nodes: DataFrame, budget: int = 200) -> DataFrame:
+    """a, b, merge_id, keep_id, similarity, step. Best pairs first; a pair with a merged node is
+    skipped; the more validated node stays, else the newer, else a; counts grow as merges go. Pairs
+    behind the last merge of the budget come without merge_id, keep_id and with step -1; a budget of
+    0 merges nothing and leaves nothing behind. The order matters, so the pairs, which a budget
+    bounds, go through one task."""
     info = nodes.select("id", "validated_count", "updated_at")
     rows = pairs.join(info.toDF("a", "va", "ua"), "a").join(info.toDF("b", "vb", "ub"), "b").withColumn("all", F.lit(1))
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
         p = p.assign(r=p["similarity"].round(9)).sort_values(["r", "a", "b"], ascending=[False, True, True])
         count = {**dict(zip(p["a"], p["va"], strict=True)), **dict(zip(p["b"], p["vb"], strict=True))}
-        gone, out = set(), []
-        for row in p.itertuples():
+        gone, out, left = set(), [], []
+        for row in p.itertuples() if budget else ():
+            if len(out) >= budget:
+                left.append((row.a, row.b, None, None, row.similarity, -1))
+                continue
             if row.a in gone or row.b in gone:
                 continue
-            if len(out) >= budget:
-                break
             keep_a = count[row.a] > count[row.b] or (count[row.a] == count[row.b] and row.ua >= row.ub)
             keep, lost = (row.a, row.b) if keep_a else (row.b, row.a)
             count[keep] += count[lost]
             gone.add(lost)
-            out.append((lost, keep, row.similarity, len(out)))
-        return pd.DataFrame(out, columns=["merge_id", "keep_id", "similarity", "step"])
+            out.append((row.a, row.b, lost, keep, row.similarity, len(out)))
+        return pd.DataFrame(out + left, columns=["a", "b", "merge_id", "keep_id", "similarity", "step"])
 
-    return rows.groupBy("all").applyInPandas(merge, "merge_id string, keep_id string, similarity double, step int")
+    return rows.groupBy("all").applyInPandas(merge, "a string, b string, merge_id string, keep_id string, similarity double, step int")
+
+
+def greedy_merges(pairs: DataFrame, nodes: DataFrame, budget: int = 200) -> DataFrame:
+    """merge_id, keep_id, similarity, step of the merges of merge_steps."""
+    return merge_steps(pairs, nodes, budget).filter("step >= 0").select("merge_id", "keep_id", "similarity", "step")
 
 
 def final_targets(merges: DataFrame, rounds: int = 30) -> DataFrame:

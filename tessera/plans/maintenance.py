@@ -23,7 +23,8 @@ class Tables:
 
 def dedup(t: Tables, now_ms: int, config: Config = Config(), full: bool = False) -> tuple[Tables, DataFrame]:
     """Tables after merging near-duplicates, and the report. An incremental pass takes the oldest
-    pending vectors within the budget; types that the pair budget blocked stay pending."""
+    pending vectors within the budget; types that the pair budget blocked stay pending, and both
+    ends of pairs that the merge budget left become pending again."""
     everything = vectors.typed(t.vectors, t.nodes)
     before = everything.filter(vectors.is_pending()).count()
     if full:
@@ -35,11 +36,14 @@ def dedup(t: Tables, now_ms: int, config: Config = Config(), full: bool = False)
         pairs = materialized(neardup.incremental_pairs(batch, others, config.dedup_threshold), "pairs")
     kept, blocked = neardup.budgeted(pairs, config.dedup_max_pairs)
     kept = materialized(kept, "kept-pairs")
-    merges = materialized(neardup.greedy_merges(kept, t.nodes, config.dedup_max_merges), "merges")
+    steps = materialized(neardup.merge_steps(kept, t.nodes, config.dedup_max_merges), "merges")
+    merges, left = steps.filter("step >= 0"), steps.filter("step < 0")
     final = materialized(neardup.final_targets(merges), "targets")
     nodes = mutate.merged_nodes(t.nodes, final, now_ms)
     edges = mutate.merged_edges(t.edges, final)
     done = batch.select("node_id", "type") if full else batch.select("node_id", "type").join(blocked, "type", "left_anti")
+    ends = left.select(F.col("a").alias("node_id")).union(left.select("b")).distinct()
+    done = done.join(ends, "node_id", "left_anti")
     checked = vectors.mark_checked(t.vectors, done.select("node_id"), now_ms)
     out = Tables(materialized(nodes, "nodes"), materialized(edges, "edges"), materialized(checked, "vectors"), t.messages, t.recalled)
     after = vectors.typed(out.vectors, out.nodes).filter(vectors.is_pending()).count()

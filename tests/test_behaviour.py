@@ -17,6 +17,7 @@ from tessera.operators import ranking as R
 from tessera.operators import search
 from tessera.operators import vectors as V
 from tessera.plans.engine import Engine
+from tessera.plans.maintenance import Tables, dedup
 from tessera.sources.config import Config, clamp, names
 from tessera.sources.schemas import NODES, TABLES
 from tessera.sources.snapshots import Store
@@ -117,6 +118,25 @@ def test_greedy_merges_follow_counts(spark):
     assert got(D.final_targets(chain), "merge_id", "keep_id") == [("a", "c"), ("b", "c")]
 
 
+def near_pairs(spark, n, checked_at=0):
+    """Tables of n pairs of equal vectors, and nothing else that is similar."""
+    rows = [(f"{side}{k}", [float(j == k) for j in range(n)]) for k in range(n) for side in "ab"]
+    v = spark.createDataFrame([(i, e, "h", 1, checked_at) for i, e in rows], "node_id string, embedding array<float>, content_hash string, updated_at bigint, dedup_checked_at bigint")
+    none = spark.createDataFrame([], "id string, created_at bigint, session_id string")
+    return Tables(nodes(spark, *({"id": i} for i, _ in rows)), edges(spark, ("a0", "b1")), v, none, none)
+
+
+def test_merge_budget_loses_no_pair(spark):
+    t, config = near_pairs(spark, 5), Config(dedup_max_merges=2)
+    reports = []
+    for now in (10, 20, 30):
+        t, report = dedup(t, now, config)
+        reports.append(tuple(report.first()))
+    # pending before and after, checked, pairs, merged
+    assert reports == [(10, 6, 4, 5, 2), (6, 2, 4, 3, 2), (2, 0, 2, 1, 1)]
+    assert t.nodes.filter("status = 'active'").count() == 5
+
+
 def test_vector_search_order_and_limits(spark):
     n = nodes(spark, {"id": "x"}, {"id": "y"}, {"id": "z"}, {"id": "gone", "status": "deprecated"})
     v = spark.createDataFrame([("x", [1.0, 0.0, 0.0]), ("y", [0.9, 0.1, 0.0]), ("z", [0.0, 1.0, 0.0]), ("gone", [1.0, 0.0, 0.0])], "node_id string, embedding array<float>")
