@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import EPSILON, dot, norm
+from tessera.sources.snapshots import materialized
 
 #: Vectors per block of a type. A pair of blocks is one unit of work, so a type that holds most
 #: vectors is spread over many tasks.
@@ -64,21 +65,41 @@ def comparisons(pending: DataFrame, checked: DataFrame) -> DataFrame:
     return p.join(c, "type", "left").select("type", F.expr("p * (p - 1) div 2 + p * coalesce(c, 0)").alias("n"))
 
 
-def merge_steps(pairs: DataFrame, nodes: DataFrame, budget: int = 200) -> DataFrame:
+def groups(pairs: DataFrame) -> DataFrame:
+    """node, label: the smallest node that is reachable over pairs. Labels pass along pairs and
+    then jump to their own labels, written to the shared folder after each round."""
+    links = materialized(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "links")
+    labels, left = materialized(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels"), 1
+    while left:
+        near = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        new = materialized(met.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")), "labels")
+        left = new.filter("label <> old").count()
+        labels = new.select("node", "label")
+    return labels
+
+
+def merge_steps(pairs: DataFrame, nodes: DataFrame, budget: int | None = 200) -> DataFrame:
     """a, b, merge_id, keep_id, similarity, step. Best pairs first; a pair with a merged node is
     skipped; the more validated node stays, else the newer, else a; counts grow as merges go. Pairs
     behind the last merge of the budget come without merge_id, keep_id and with step -1; a budget of
     0 merges nothing and leaves nothing behind. The order matters, so the pairs, which a budget
-    bounds, go through one task."""
+    bounds, go through one task. Without a budget the groups that pairs connect, which don't touch
+    each other, are merged apart, and steps count within a group."""
     info = nodes.select("id", "validated_count", "updated_at")
-    rows = pairs.join(info.toDF("a", "va", "ua"), "a").join(info.toDF("b", "vb", "ub"), "b").withColumn("all", F.lit(1))
+    rows = pairs.join(info.toDF("a", "va", "ua"), "a").join(info.toDF("b", "vb", "ub"), "b")
+    if budget is None:
+        rows = rows.join(groups(pairs).toDF("a", "all"), "a")
+    else:
+        rows = rows.withColumn("all", F.lit(1))
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
         p = p.assign(r=p["similarity"].round(9)).sort_values(["r", "a", "b"], ascending=[False, True, True])
         count = {**dict(zip(p["a"], p["va"], strict=True)), **dict(zip(p["b"], p["vb"], strict=True))}
         gone, out, left = set(), [], []
-        for row in p.itertuples() if budget else ():
-            if len(out) >= budget:
+        for row in p.itertuples() if budget != 0 else ():
+            if budget is not None and len(out) >= budget:
                 left.append((row.a, row.b, None, None, row.similarity, -1))
                 continue
             if row.a in gone or row.b in gone:
@@ -93,7 +114,7 @@ def merge_steps(pairs: DataFrame, nodes: DataFrame, budget: int = 200) -> DataFr
     return rows.groupBy("all").applyInPandas(merge, "a string, b string, merge_id string, keep_id string, similarity double, step int")
 
 
-def greedy_merges(pairs: DataFrame, nodes: DataFrame, budget: int = 200) -> DataFrame:
+def greedy_merges(pairs: DataFrame, nodes: DataFrame, budget: int | None = 200) -> DataFrame:
     """merge_id, keep_id, similarity, step of the merges of merge_steps."""
     return merge_steps(pairs, nodes, budget).filter("step >= 0").select("merge_id", "keep_id", "similarity", "step")
 

@@ -269,5 +269,5 @@ def _(fx):
 def _(fx):
     from tessera.operators.neardup import all_pairs
 
-    pairs = all_pairs(fx.neardup.select("node_id", "embedding", F.col("label").cast("string").alias("type")))
+    pairs = all_pairs(fx.neardup.select("node_id", "embedding", F.col("label").cast("string").alias("type")), limit=None)
     return P.top_report(pairs, fx.nodes).withColumn("value", F.round("value", 6))

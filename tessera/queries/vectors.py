@@ -9,6 +9,7 @@ from tessera.operators import neardup as D
 from tessera.operators import vectors as V
 from tessera.queries import query
 from tessera.sources.fixtures import NOW_MS
+from tessera.sources.snapshots import materialized
 
 _Q = "(select embedding from embeddings where vec_id = 0)"
 _COS = "list_dot_product({a}::double[], {b}::double[]) / (sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[])) + 1e-9)"
@@ -93,7 +94,7 @@ _PAIRS = f"select a.node_id as a, b.node_id as b, a.label, {_COS.format(a='a.emb
 
 @query("d02_all_pairs", f"select a, b, round(s, 6) as similarity from ({_PAIRS}) where s >= 0.9")
 def _(fx):
-    return D.all_pairs(_typed(fx)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.all_pairs(_typed(fx), limit=None).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("d02_pairs_capped", f"select a, b from ({_PAIRS}) where s >= 0.9 order by label::varchar, a, b limit 20")
@@ -117,7 +118,7 @@ def _(fx):
 @query("d05_greedy_merges", f"select case when a_is_older then a else b end as merge_id, case when a_is_older then b else a end as keep_id from (select a, b, true as a_is_older from ({_PAIRS}) where s >= 0.9)")
 def _(fx):
     nodes = fx.neardup.select(F.col("node_id").alias("id"), F.lit(1).cast("long").alias("validated_count"), F.when(F.col("node_id").startswith("x"), 2).otherwise(1).cast("long").alias("updated_at"))
-    return D.greedy_merges(D.all_pairs(_typed(fx)), nodes).select("merge_id", "keep_id")
+    return D.greedy_merges(materialized(D.all_pairs(_typed(fx), limit=None), "pairs"), nodes, None).select("merge_id", "keep_id")
 
 
 @query("d06_dedup_report", "with p as (select count(*) as n from fx_neardup where node_id like 'x%') select n as pending_before, 0::bigint as pending_after, n as checked, n as pairs, n as merged from p")

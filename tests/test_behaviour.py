@@ -118,6 +118,14 @@ def test_greedy_merges_follow_counts(spark):
     assert got(D.final_targets(chain), "merge_id", "keep_id") == [("a", "c"), ("b", "c")]
 
 
+def test_merges_by_group_equal_merges_in_one_task(spark):
+    r = random.Random(5)
+    n = nodes(spark, *({"id": f"v{k:02d}", "validated_count": r.randint(1, 4), "updated_at": r.randint(1, 3)} for k in range(80)))
+    rows = [(f"v{a:02d}", f"v{b:02d}", "T", round(r.uniform(0.9, 1), 3)) for a, b in combinations(range(80), 2) if r.random() < 0.015 or b == a + 1 < 20]
+    pairs = spark.createDataFrame(rows, "a string, b string, type string, similarity double")
+    assert got(D.greedy_merges(pairs, n, None), "merge_id", "keep_id") == got(D.greedy_merges(pairs, n, len(rows)), "merge_id", "keep_id")
+
+
 def near_pairs(spark, n, checked_at=0):
     """Tables of n pairs of equal vectors, and nothing else that is similar."""
     rows = [(f"{side}{k}", [float(j == k) for j in range(n)]) for k in range(n) for side in "ab"]

@@ -1,6 +1,9 @@
 """Every query with SQL against DuckDB at sf0.001; the others must run."""
 
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import queries as core
 
@@ -31,3 +34,42 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def many_pairs(spark, tmp_path_factory):
+    """sf0.001 with embeddings of 1,476 pairs: 1,225 of one group of 50, then 250, then the best one."""
+    folder = tmp_path_factory.mktemp("many")
+    for table in Path(SF).iterdir():
+        if table.name != "embeddings.parquet":
+            (folder / table.name).symlink_to(table)
+
+    def vector(**at):
+        return [float(at.get(f"d{k}", 0)) for k in range(560)]
+
+    rows = [(vector(d0=4, **{f"d{k}": 1}), 0) for k in range(1, 51)]
+    for k in range(250):
+        rows += [(vector(**{f"d{2 * k}": 1}), 5), (vector(**{f"d{2 * k}": 1, f"d{2 * k + 1}": 0.3}), 5)]
+    rows += [(vector(d7=1), 9)] * 2
+    names = [k for k in range(10 * len(rows)) if k % 10][: len(rows)]  # multiples of ten get a near copy in the view
+    schema = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").schema
+    spark.createDataFrame([(n, e, label) for n, (e, label) in zip(names, rows, strict=True)], schema).write.parquet(str(folder / "embeddings.parquet"))
+    return str(folder), [f"n{k:08d}" for k in names]
+
+
+def test_all_pairs_have_no_cap(spark, many_pairs):
+    assert same(spark, many_pairs[0], core.QUERIES["d02_all_pairs"], core.ORACLE_SQL["d02_all_pairs"], connection(many_pairs[0])) == 1225 + 250 + 1
+
+
+def test_greedy_merges_have_no_cap(spark, many_pairs):
+    folder, names = many_pairs
+    got = core.QUERIES["d05_greedy_merges"](spark, folder).collect()
+    left = set(names) - {r["merge_id"] for r in got}
+    assert len(got) == 49 + 250 + 1 and len(left) == len(names) - len(got)
+    assert [len(left & set(part)) for part in (names[:50], names[50:-2], names[-2:])] == [1, 250, 1]
+
+
+def test_report_finds_the_best_of_all_pairs(spark, many_pairs):
+    folder, names = many_pairs
+    best = core.QUERIES["z02_report"](spark, folder).filter("what = 'pair'").orderBy(F.desc("value")).first()
+    assert (best["a"], best["b"], best["value"]) == (names[-2], names[-1], 1.0)
