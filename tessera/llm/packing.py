@@ -36,16 +36,18 @@ SMALL_PARTS, GROUPS = (2, 3, 4, 8), 1024
 BUCKET = 1000
 #: Ends each document.
 END_ID = 0
+#: The added tokens of byte_bpe_50k.json, found in texts before any splitting.
+ADDED = {"<|endoftext|>": 50256}
 
 
 @functools.cache
 def encoder(ranks_path: str, pattern: str):
-    """The byte-level BPE of a rank file; strings of special tokens are ordinary text."""
+    """The byte-level BPE of a rank file, with the added tokens."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,7 +61,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern
     """id, piece, start, length, ids_crc32 (of unsigned little-endian 32-bit ids), and if asked ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encode = functools.partial(encoder(ranks_path, pattern).encode, allowed_special=set(ADDED))
         for batch in batches:
             out = []
             for k, text in zip(batch["id"], batch["text"], strict=True):

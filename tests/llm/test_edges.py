@@ -201,6 +201,20 @@ def test_tagger_adds_and_base_stays():
     assert added == ["(212) 555-0187"]
 
 
+def test_ids_of_added_tokens_equal_tokenizers(spark):
+    """With the tokenizer's own settings, in which added tokens are found in texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {a.content: k for k, a in t.get_added_tokens_decoder().items()} == packing.ADDED
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "a  <|endoftext|>  b\n\n<|endoftext|><|endoftext|>c", "<|endoftext| >", "<|ENDOFTEXT|>", "x<|<|endoftext|>|>", "plain", "é\u3000<|endoftext|> 's 's", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in packing.pack(df, *tokenizer_files(), with_ids=True).collect()}
+    assert got == {k: [*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for k, x in enumerate(texts)}
+    assert got[0] == [437, 220, 50256, 923, packing.END_ID]
+
+
 def test_plan_places_every_rank_once():
     import numpy as np
 
