@@ -51,12 +51,14 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8) stays."""
-    return without(docs, near_duplicates(docs, size=5, percent=80).filter("not kept").select("doc_id"))
+    copies = near_duplicates(docs, size=5, percent=80, with_key=True).filter("not kept").select("doc_id", "text_key")
+    return without(docs.withColumn("text_key", F.xxhash64("text")), copies).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of ten words of a benchmark item go."""
-    return without(docs, overlaps(docs, read(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id"))
+    found = overlaps(docs, read(spark, sf_dir, "benchmark"), with_key=True).filter("n_hit > 0").select("doc_id", "text_key")
+    return without(docs.withColumn("text_key", F.xxhash64("text")), found).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

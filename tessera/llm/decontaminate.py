@@ -53,14 +53,15 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, width: int) -> Da
     return each.select("item", F.array_join("w", " ").alias("win"), F.size("w").alias("len"), "w")
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES, with_key: bool = False) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit (words inside occurrences of windows), item_ids
     (the items with occurring windows, as sorted strings).
 
     Null texts and items have no words and match nothing; an item with a null id counts for hits,
     but is named in no list. Rows are told apart by id and text, so null and repeated ids are
     served; equal rows get equal results. Extra columns are ignored, whatever their names; empty
-    tables give no rows, or rows without hits.
+    tables give no rows, or rows without hits. If asked, text_key (the text's 64-bit hash) tells
+    rows of an id apart.
     """
     windows = materialize(windows_of(items, item_col, item_text_col, width), "windows")
     unique = windows.select("win", "len", "w").distinct()
@@ -107,4 +108,5 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     both = covered.alias("a").join(named.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.key") == F.col("b.key"))).select("a.id", "a.key", "n_hit", "item_ids")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.size(words(text_or_empty(text_col))).cast("long").alias("n_words"))
     joined = rows.alias("r").join(both.alias("f"), F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.key") == F.col("f.key")), "left")
-    return joined.select(F.col("r.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    text_key = [F.col("r.key").alias("text_key")] if with_key else []
+    return joined.select(F.col("r.id").alias(id_col), *text_key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))

@@ -124,7 +124,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """id, n, f1, f2, sketch: one row per row of docs (id, text)."""
+    """n, f1, f2, sketch beside the columns of docs (id, text, others) but the text: a row per row."""
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         out = []
@@ -134,7 +134,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             out.append((len(s), f1.astype(np.int64), f2.astype(np.int64), sketch(s).tobytes()))
         return [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
 
-    return append_columns(docs, "text", ["id"], "n long, f1 long, f2 long, sketch binary", run)
+    return append_columns(docs, "text", [c for c in docs.columns if c != "text"], "n long, f1 long, f2 long, sketch binary", run)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -227,16 +227,18 @@ def joins_in_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, with_key: bool = False) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable over pairs
     whose sets of size-word shingles have 100 * intersection >= percent * union), kept.
 
     Words are what white space separates, A-Z lower-cased. A text of fewer words is one shingle; a
     null or blank text is empty and linked with nothing. Rows that share an id are one node. A row
     with a null id is linked with nothing, has a null component_id and is kept. Ids are integers.
-    Other columns are ignored, whatever their names; an empty table gives no rows.
+    Other columns are ignored, whatever their names; an empty table gives no rows. If asked,
+    text_key (the text's 64-bit hash) tells rows of an id apart.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text_key = ["text_key"] if with_key else []
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.xxhash64(text_col).alias(c) for c in text_key))
     drawn = materialize(sketches(docs, size), "sketches")
     known = drawn.filter("n > 0 and id is not null")
     reps = known.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "sketch")).alias("r")).select("f1", "f2", "n", F.col("r.id").alias("rep"), F.col("r.sketch").alias("sketch"))
@@ -262,9 +264,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = connected_components(links.union(more))
 
     groups = reps.select("f1", "f2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("label"))
-    rows = drawn.select("id", "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left")
+    rows = drawn.select("id", *text_key, "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), *text_key, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def cross_links(docs: DataFrame, crowd: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:

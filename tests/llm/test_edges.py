@@ -230,3 +230,23 @@ def test_plan_places_every_rank_once():
             assert used.get(a, 0) == b
             used[a] = b + n
         assert max(used.values()) <= 64 and len(used) == plan.sequences
+
+
+def test_stages_tell_rows_of_an_id_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    def words(name, n=30):
+        return " ".join(f"{name}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(n))
+
+    passage = words("bench", 12)
+    near, other, clean, whole, twice, last = map(words, ("near", "other", "clean", "whole", "twice", "last"))
+    rows = [(1, near), (7, near.upper()), (7, other), (None, f"so {passage}"), (None, clean), (9, f"then {passage}"), (9, whole), (None, "12 34"), (8, "!!"), (8, twice), (5, twice), (8, last)]
+    gone = [[(None, "12 34"), (8, "!!")], [(8, twice)], [(7, near.upper())], [(None, f"so {passage}"), (9, f"then {passage}")]]
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df, left = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), set(rows)
+    for (name, stage), dropped in zip(corpus_pipeline.STAGES, gone):
+        df = stage(spark, df, str(tmp_path))
+        left -= set(dropped)
+        assert sorted(map(str, left)) == sorted(str((r["doc_id"], r["text"])) for r in df.collect()), name
+        df = spark.createDataFrame([(*r, "en") for r in left], "doc_id long, text string, lang string")
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.packing(spark, df, str(tmp_path)).collect()) == sorted(str(k) for k, _ in left)
