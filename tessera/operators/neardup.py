@@ -114,6 +114,23 @@ def merge_steps(pairs: DataFrame, nodes: DataFrame, budget: int | None = 200) ->
     return rows.groupBy("all").applyInPandas(merge, "a string, b string, merge_id string, keep_id string, similarity double, step int")
 
 
+def merge_steps_apart(pairs: DataFrame, nodes: DataFrame, budget: int) -> DataFrame:
+    """The rows of merge_steps for pairs that nothing bounds: groups are merged apart, and of all
+    merges, best pairs first, those within the budget stay."""
+    columns, order = ["a", "b", "merge_id", "keep_id", "similarity", "step"], [F.desc("r"), "a", "b"]
+    steps = materialized(merge_steps(pairs, nodes, None), "apart").withColumn("r", F.round("similarity", 9))
+    first = steps.orderBy(*order).limit(budget).withColumn("step", F.row_number().over(Window.orderBy(*order)) - 1)
+    first = materialized(first, "first")
+    if not budget or first.count() < budget:
+        return first.select(*columns)
+    last = first.orderBy(F.desc("step")).first()
+    r = F.round("similarity", 9)
+    behind = (r < last["r"]) | ((r == last["r"]) & ((F.col("a") > last["a"]) | ((F.col("a") == last["a"]) & (F.col("b") > last["b"]))))
+    none = F.lit(None).cast("string")
+    left = pairs.filter(behind).select("a", "b", none.alias("merge_id"), none.alias("keep_id"), "similarity", F.lit(-1).alias("step"))
+    return first.select(*columns).unionByName(left)
+
+
 def greedy_merges(pairs: DataFrame, nodes: DataFrame, budget: int | None = 200) -> DataFrame:
     """merge_id, keep_id, similarity, step of the merges of merge_steps."""
     return merge_steps(pairs, nodes, budget).filter("step >= 0").select("merge_id", "keep_id", "similarity", "step")

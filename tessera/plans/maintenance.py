@@ -24,7 +24,9 @@ class Tables:
 def dedup(t: Tables, now_ms: int, config: Config = Config(), full: bool = False) -> tuple[Tables, DataFrame]:
     """Tables after merging near-duplicates, and the report. An incremental pass takes the oldest
     pending vectors within the budget; types that the pair budget blocked stay pending, and both
-    ends of pairs that the merge budget left become pending again."""
+    ends of pairs that the merge budget left become pending again. A budget of 0 pending vectors
+    means a full pass, and one of 0 pairs no cap."""
+    full = full or config.dedup_max_pending == 0
     everything = vectors.typed(t.vectors, t.nodes)
     before = everything.filter(vectors.is_pending()).count()
     if full:
@@ -34,9 +36,14 @@ def dedup(t: Tables, now_ms: int, config: Config = Config(), full: bool = False)
         batch = materialized(vectors.pending(t.vectors, t.nodes, config.dedup_max_pending), "pending")
         others = everything.filter(~vectors.is_pending()).join(batch.select("type").distinct(), "type", "left_semi")
         pairs = materialized(neardup.incremental_pairs(batch, others, config.dedup_threshold), "pairs")
-    kept, blocked = neardup.budgeted(pairs, config.dedup_max_pairs)
-    kept = materialized(kept, "kept-pairs")
-    steps = materialized(neardup.merge_steps(kept, t.nodes, config.dedup_max_merges), "merges")
+    if config.dedup_max_pairs == 0:
+        kept, blocked = pairs, pairs.select("type").limit(0)
+        steps = neardup.merge_steps_apart(kept, t.nodes, config.dedup_max_merges)
+    else:
+        kept, blocked = neardup.budgeted(pairs, config.dedup_max_pairs)
+        kept = materialized(kept, "kept-pairs")
+        steps = neardup.merge_steps(kept, t.nodes, config.dedup_max_merges)
+    steps = materialized(steps, "merges")
     merges, left = steps.filter("step >= 0"), steps.filter("step < 0")
     final = materialized(neardup.final_targets(merges), "targets")
     nodes = mutate.merged_nodes(t.nodes, final, now_ms)

@@ -145,6 +145,16 @@ def test_merge_budget_loses_no_pair(spark):
     assert t.nodes.filter("status = 'active'").count() == 5
 
 
+def test_no_pending_budget_means_a_full_pass(spark):
+    t, report = dedup(near_pairs(spark, 3, checked_at=5), 10, Config(dedup_max_pending=0))
+    assert tuple(report.first()) == (0, 0, 6, 3, 3) and t.nodes.filter("status = 'active'").count() == 3
+
+
+def test_no_pair_budget_means_no_cap(spark):
+    _, report = dedup(near_pairs(spark, 3), 10, Config(dedup_max_pairs=0, dedup_max_merges=2))
+    assert tuple(report.first()) == (6, 2, 4, 3, 2)
+
+
 def test_vector_search_order_and_limits(spark):
     n = nodes(spark, {"id": "x"}, {"id": "y"}, {"id": "z"}, {"id": "gone", "status": "deprecated"})
     v = spark.createDataFrame([("x", [1.0, 0.0, 0.0]), ("y", [0.9, 0.1, 0.0]), ("z", [0.0, 1.0, 0.0]), ("gone", [1.0, 0.0, 0.0])], "node_id string, embedding array<float>")
