@@ -250,3 +250,13 @@ def test_stages_tell_rows_of_an_id_apart(spark, tmp_path):
         assert sorted(map(str, left)) == sorted(str((r["doc_id"], r["text"])) for r in df.collect()), name
         df = spark.createDataFrame([(*r, "en") for r in left], "doc_id long, text string, lang string")
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.packing(spark, df, str(tmp_path)).collect()) == sorted(str(k) for k, _ in left)
+
+
+def test_estimate_loses_fewer_pairs_than_bands():
+    """Chances that a pair of similarity 0.8 has too few equal registers, and that it shares no band."""
+    import math
+
+    n = near_dedup.REGISTERS
+    too_few = math.ceil(near_dedup.least_estimate(0.8) * n) - 1
+    dropped = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(too_few + 1))
+    assert dropped < (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS / 10
