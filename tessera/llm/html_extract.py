@@ -32,7 +32,13 @@ _VOID = set("area base br col embed hr img input link meta source track wbr".spl
 _CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: What ends an open paragraph: a new block.
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Frame words on these tell what is on the page, not what they are.
+_WHOLE = set("html body main article".split())
+#: Frame words of what may hold articles other than the page's.
+_OTHER_WORDS = set("comment comments disqus promo related reply respond sponsored".split())
 FRAME, NEUTRAL, ARTICLE = -1, 0, 1
+#: A frame by a mere name, which an article or main inside it overrules; it counts as FRAME.
+NAMED = -2
 
 #: words, link density, words before, link density before, words after, link density after,
 #: surroundings (-1 frame, 0 neither, 1 article), heading, main text or not.
@@ -94,11 +100,16 @@ def classify(x: np.ndarray, node: tuple | None = None) -> np.ndarray:
 def _surroundings(tag: str, attributes: str, around: int) -> int:
     """What an element makes of what is inside it, given what is around it."""
     names = {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower())} if attributes else set()
-    if tag in _FRAME_TAGS or names & _FRAME_WORDS or tag == "header" and around != ARTICLE:
+    frame = set() if tag in _WHOLE else names & _FRAME_WORDS
+    if around == ARTICLE:
+        frame -= {"head", "header"}  # of the article
+    if tag in _FRAME_TAGS or frame & _OTHER_WORDS or tag == "header" and around != ARTICLE:
         return FRAME
-    if around != FRAME and (tag in ("article", "main") or names & _ARTICLE_WORDS):
+    if frame:
+        return FRAME if around == FRAME else NAMED
+    if around != FRAME and (tag in ("article", "main") or around != NAMED and names & _ARTICLE_WORDS):
         return ARTICLE
-    return FRAME if tag == "header" and around == FRAME else around
+    return around
 
 
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
@@ -116,7 +127,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             words = html.unescape("".join(parts)).split()
             if words:
                 size = sum(map(len, parts))
-                out.append((" ".join(words), len(words), min(1.0, linked / size), around, heading))
+                out.append((" ".join(words), len(words), min(1.0, linked / size), max(around, FRAME), heading))
             parts.clear()
         linked = 0
 

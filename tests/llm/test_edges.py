@@ -260,3 +260,16 @@ def test_estimate_loses_fewer_pairs_than_bands():
     too_few = math.ceil(near_dedup.least_estimate(0.8) * n) - 1
     dropped = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(too_few + 1))
     assert dropped < (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS / 10
+
+
+def test_explicit_articles_win_over_names():
+    title, text = "A title", "A first paragraph of the article, with several words in it and more of them."
+    side = '<div class="sidebar"><p>Some side text that is rather long, as such texts can be.</p></div>'
+    comment = '<div class="comments"><article class="comment-body"><p>Nice post, I like it a lot and say so in many words.</p></article></div>'
+    article = f'<div class="entry-header"><h1>{title}</h1></div><p>{text}</p>'
+    pages = [
+        f'<body class="home has-sidebar"><article>{article}</article>{side}</body>',
+        f'<body><article class="post comment-open">{article}</article>{side}{comment}</body>',
+        f'<body><div class="page has-sidebar"><main>{article}</main>{side}</div>{comment}</body>',
+    ]
+    assert html_extract.main_texts(pages) == [f"{title}\n\n{text}"] * 3
