@@ -2,18 +2,17 @@
 
 The base patterns are matched over whole texts. The tagger is trained in numpy from labelled spans
 that are written into drawn sentences in many spellings, beside look-alikes (dates, versions,
-amounts, times) that are labelled as nothing. Every span has a digit or "@", so decoding looks at
-stretches of text around these characters: a stretch is cut into overlapping windows, the windows'
-scores are averaged with weights that fall towards a window's edges, and one Viterbi pass over the
-whole stretch settles all windows together. A span of the tagger is added if it has what its kind
-needs and overlaps no base span.
+amounts, times) that are labelled as nothing. It reads every character of every text: a text is cut
+into overlapping windows, windows of many texts are scored together, the scores of two windows are
+blended where they overlap, and one decoding over the whole text settles all of them. A span of the
+tagger is added if it has what its kind needs and overlaps no base span.
 """
 
 from __future__ import annotations
 
 import functools
+import random
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import append_columns
 from .crf_lstm import Tagger, viterbi
+from .hashing import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, REACH = 64, 32, 32
-STEPS, EXAMPLES = 500, 1600
-#: Windows that are scored at once.
-BATCH = 256
+#: Characters of a window, and of what it shares with the next one.
+WINDOW, OVERLAP = 1024, 64
+#: Characters of the labelled windows, their number, and steps of training.
+DRAWN, EXAMPLES, STEPS = 64, 4000, 700
+#: Characters that are scored at once, or one longer text.
+BATCH = 1 << 19
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,7 +37,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+#: Spellings of "@" and "." that people use to hide addresses.
+_AT = re.compile(r"\s*[\[({]?\s*(?:@|\bat\b)\s*[\])}]?\s*", re.I)
+_DOT = re.compile(r"\s*[\[({]?\s*(?:[.]|\bdot\b)\s*[\])}]?\s*", re.I)
+_ADDRESS = re.compile(r"[\w.%+-]+@[\w-]+(?:[.][\w-]+)+")
+_SPACED = re.compile(r"[0-9](?:[\s.-]{0,2}[0-9])+")
+_NUMBER = re.compile(r"[+(]?[0-9](?:[\s().+/-]{0,3}[0-9])+")
 
 
 def luhn(digits: str) -> bool:
@@ -73,165 +80,160 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz@.-+() _%:/,;#\"'=\n"
-_CODE = np.full(0x250, len(_SYMBOLS) + 3, np.int64)  # other
+_CODE = np.full(0x250, len(_SYMBOLS) + 2, np.uint8)  # other
 for _k, _c in enumerate(_SYMBOLS):
     _CODE[ord(_c)] = _CODE[ord(_c.upper())] = _k
 _CODE[48:58] = len(_SYMBOLS)
 _CODE[0xC0:] = len(_SYMBOLS) + 1
-_EDGE = len(_SYMBOLS) + 2
-N_SYMBOLS = len(_SYMBOLS) + 4
+N_SYMBOLS = len(_SYMBOLS) + 3
+#: Letters get rarer along the list.
+_FALLING = [0.88**k for k in range(30)]
 
 
 def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _CODE[np.minimum(points, len(_CODE) - 1)]
+    return np.take(_CODE, points, mode="clip")
 
 
-def drawn_examples(count: int = EXAMPLES, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and tags (time, example) of labelled windows. Tags: 0 outside, 1 + 2k begins kind k,
-    2 + 2k is inside it."""
-    draw = np.random.default_rng(seed)
-
-    def pick(options):
-        return options[int(draw.integers(len(options)))]
+def drawn_examples(count: int = EXAMPLES, seed: int = 1, length: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and tags (time, example) of labelled windows. Tags: 0 outside, 1 + k in kind k."""
+    draw = random.Random(seed)
+    pick = draw.choice
 
     def digits(n: int) -> str:
-        return "".join(str(d) for d in draw.integers(0, 10, n))
+        return "".join(draw.choices("0123456789", k=n))
 
     def word(low: int = 2, high: int = 9) -> str:
-        letters = "etaoinshrdlucmfwypvbgkjqxzéäñö"
-        rank = np.minimum(draw.geometric(0.12, int(draw.integers(low, high + 1))) - 1, len(letters) - 1)
-        return "".join(letters[k] for k in rank)
+        return "".join(draw.choices("etaoinshrdlucmfwypvbgkjqxzéäñö", _FALLING, k=draw.randint(low, high)))
 
     def ascii_word() -> str:
-        return "".join(c for c in word(3, 8) if c < "\x7f") or "ab"
+        return "".join(draw.choices("etaoinshrdlucmfwypvbgkjqxz", _FALLING[:26], k=draw.randint(2, 8)))
 
     def email() -> str:
-        at = pick(["@", "@", "@", "@", " @ ", "(@)"])
-        local = pick([ascii_word(), ascii_word() + pick([".", "_", "-"]) + ascii_word(), digits(int(draw.integers(2, 6))), ascii_word() + digits(2)])
-        return local + at + pick([ascii_word(), "mail" + digits(1) + "." + ascii_word()]) + "." + pick(["com", "org", "net", "de", "example.com"])
+        at, dot = pick([("@", "."), ("@", "."), ("@", "."), (" @ ", "."), ("(@)", "."), (" at ", " dot "), (" at ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), ("@", "[.]")])
+        local = pick([ascii_word(), ascii_word() + pick([".", "_", "-"]) + ascii_word(), digits(draw.randint(2, 6)), ascii_word() + digits(2)])
+        return local + at + pick([ascii_word(), "mail" + digits(1) + dot + ascii_word()]) + dot + pick(["com", "org", "net", "de", f"example{dot}com"])
 
     def ip() -> str:
-        return pick([".", ".", ".", ". "]).join(str(int(n)) for n in draw.integers(0, 256, 4))
+        return pick([".", ".", ".", ". ", "[.]", " . "]).join(str(draw.randrange(256)) for _ in range(4))
 
     def card() -> str:
         n = pick([14, 15, 16, 16, 16, 18, 19])
         d = digits(n - 1)
         d += next(x for x in "0123456789" if luhn(d + x))
-        gap = pick(["", "", "-", " ", "."])
+        gap = pick(["", "", "-", " ", ".", "  "])
         return gap.join(d[k : k + 4] for k in range(0, n, 4)) if gap else d
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)}{a}{b}{c}", f"0{digits(2)}/{b}{c}", f"+1-{a}-{b}-{c}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)}{a}{b}{c}", f"0{digits(2)}/{b}{c}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{digits(2)} {a} {b}{c}"])
 
     def nothing() -> str:
-        return pick([f"{digits(4)}-{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}:{digits(2)}", digits(int(draw.integers(1, 8))), f"${digits(3)}.{digits(2)}", "@" + ascii_word(), f"{digits(2)}%", f"{digits(1)}.{digits(2)}", "".join(pick("0123456789abcdef") for _ in range(24)), f"{digits(2)}/{digits(2)}/{digits(4)}", f"no. {digits(5)}"])
+        return pick([f"{digits(4)}-{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", digits(draw.randint(1, 8)), digits(draw.randint(20, 30)), f"${digits(3)}.{digits(2)}", "@" + ascii_word(), f"{digits(2)}%", f"{digits(1)}.{digits(2)}", "".join(draw.choices("0123456789abcdef", k=pick([8, 24, 40]))), f"{digits(2)}/{digits(2)}/{digits(4)}", f"no. {digits(5)}", f"{word()} at {word()}", f"{word()} at {word()}. {word()}", "at", "dot", f"{digits(1)}, {digits(2)}, {digits(2)}", "AKIA" + "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)), f'token = "{ascii_word()}{digits(6)}"'])
 
     makers = (email, ip, card, phone)
-    x, tags = np.full((WINDOW, count), _EDGE), np.zeros((WINDOW, count), np.int64)
+    x, tags = np.empty((length, count), np.int64), np.zeros((length, count), np.int64)
     for k in range(count):
         text, marks = "", []
-        while len(text) < 2 * WINDOW:
+        loud, gaps = draw.random() < 0.1, pick([[" "], [" "], [" ", " ", ". ", ", ", "\n"], [" ", "### ", "$$$ ", "!! ", "%%% ", "&&& ", "*** "], [" | "]])
+        while len(text) < 2 * length:
             what = draw.random()
             if what < 0.12:
-                kind = int(draw.integers(4))
+                kind = draw.randrange(4)
                 value = makers[kind]()
                 marks.append((len(text), kind, len(text) + len(value)))
                 text += value
             else:
-                text += nothing() if what < 0.2 else word().capitalize() if what < 0.3 else word()
-            text += pick([" ", " ", " ", " ", ". ", ", ", "\n", "### ", "$$$ ", " | "])
-        begin = int(draw.integers(0, WINDOW))
-        marks_in = np.zeros(len(text), np.int64)
+                plain = nothing() if what < 0.2 else word().capitalize() if what < 0.3 else word()
+                text += plain.upper() if loud else plain
+            text += pick(gaps)
+        begin = draw.randrange(length)
+        inside = np.zeros(len(text), np.int64)
         for s, kind, e in marks:
-            marks_in[s:e] = 2 + 2 * kind
-            marks_in[s] = 1 + 2 * kind
-        x[:, k], tags[:, k] = codes(text)[begin : begin + WINDOW], marks_in[begin : begin + WINDOW]
+            inside[s:e] = 1 + kind
+        x[:, k], tags[:, k] = codes(text)[begin : begin + length], inside[begin : begin + length]
     return x, tags
 
 
 @functools.cache
 def tagger() -> Tagger:
     """Trained once in a process, always alike."""
-    model = Tagger.fresh(N_SYMBOLS, 1 + 2 * len(KINDS))
+    model = Tagger.fresh(N_SYMBOLS, 1 + len(KINDS))
     model.train(*drawn_examples(), STEPS)
     return model
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Ranges of text within REACH of a digit or "@"."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and low <= out[-1][1]:
-            out[-1][1] = high
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
-
-
 def _fits(kind: int, value: str) -> bool:
-    n = len(_DIGIT.findall(value))
+    """Whether a value has what its kind needs, hidden spellings written plainly."""
     if kind == 0:
-        return "@" in value and "." in value[value.index("@") :] and len(value) >= 6
+        return _ADDRESS.fullmatch(_DOT.sub(".", _AT.sub("@", value, 1))) is not None
     if kind == 1:
-        parts = re.split(r"[. ]+", value)
+        parts = _DOT.sub(".", value).split(".")
         return len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) < 4 and int(p) <= 255 for p in parts)
+    digits = "".join(_DIGIT.findall(value))
     if kind == 2:
-        digits = "".join(_DIGIT.findall(value))
-        return 14 <= n <= 19 and luhn(digits)
-    return 9 <= n <= 15 and any(c in "+()-/ " for c in value)
+        return 14 <= len(digits) <= 19 and _SPACED.fullmatch(value) is not None and luhn(digits)
+    return 9 <= len(digits) <= 15 and len(digits) < len(value) and _NUMBER.fullmatch(value) is not None
+
+
+def windows(length: int) -> list[tuple[int, int]]:
+    """Ranges of a text of this length, each of at most WINDOW characters, overlapping by OVERLAP."""
+    return [(s, min(s + WINDOW, length)) for s in range(0, max(1, length - OVERLAP), WINDOW - OVERLAP)] if length else []
+
+
+def emissions(texts: list[str], model: Tagger) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (place, tag) of every character, text after text, and where texts begin (and the end).
+    Where two windows overlap, their scores are blended from the one into the other."""
+    bounds = np.cumsum([0, *map(len, texts)])
+    symbols = codes("".join(texts))
+    ranges = [(a + s, a + e, s > 0, a + e < b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for s, e in windows(b - a)]
+    ranges.sort(key=lambda r: r[0] - r[1])
+    out = np.zeros((len(symbols), 1 + len(KINDS)), np.float32)
+    if not ranges:
+        return out, bounds
+    x = np.zeros((2, len(ranges), ranges[0][1] - ranges[0][0]), np.uint8)
+    for k, (a, b, _, _) in enumerate(ranges):
+        x[0, k, : b - a] = symbols[a:b]
+        x[1, k, : b - a] = symbols[a:b][::-1]
+    scored = model.scores(x, np.array([b - a for a, b, _, _ in ranges]))
+    rise = ((np.arange(OVERLAP, dtype=np.float32) + 0.5) / OVERLAP)[:, None]
+    for k, (a, b, before, after) in enumerate(ranges):
+        part = scored[0, k, : b - a]
+        part += scored[1, k, : b - a][::-1]
+        if before:
+            part[:OVERLAP] *= rise[: b - a]
+        if after:
+            part[-OVERLAP:] *= rise[::-1]
+        out[a:b] += part
+    out += model.weights["ob"]
+    return out, bounds
 
 
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """The tagger's spans (start, kind number, end) of each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    places = [(k, a, b) for k, t in enumerate(texts) for a, b in stretches(t)]
-    windows = [(p, s) for p, (_, a, b) in enumerate(places) for s in range(a, max(a + 1, b - STRIDE), STRIDE)]
-    size = model.weights["m"].shape[0]
-    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    sums: dict[int, np.ndarray] = {}
-    for at in range(0, len(windows), BATCH):
-        part = windows[at : at + BATCH]
-        x = np.full((WINDOW, len(part)), _EDGE)
-        for k, (p, s) in enumerate(part):
-            n, _, b = places[p]
-            c = codes(texts[n][s : min(s + WINDOW, b)])
-            x[: len(c), k] = c
-        scores = model.scores(x)
-        for k, (p, s) in enumerate(part):
-            n, a, b = places[p]
-            if p not in sums:
-                sums[p] = np.zeros((b - a, size + 1), np.float32)
-            end = min(s + WINDOW, b)
-            sums[p][s - a : end - a, :size] += scores[: end - s, k] * weight[: end - s, None]
-            sums[p][s - a : end - a, size] += weight[: end - s]
-        last = windows[at + BATCH][0] if at + BATCH < len(windows) else len(places)
-        for p in [p for p in sums if p < last]:  # all windows of these stretches are in
-            total = sums.pop(p)
-            n, a, _ = places[p]
-            tags = viterbi(total[:, :size] / total[:, size:], model.weights["m"])
-            for s, e in _runs(tags):
-                kind, value = int(tags[s] - 1) // 2, texts[n][a + s : a + e]
-                left = len(value) - len(value.lstrip())
-                value = value.strip()
-                if _fits(kind, value):
-                    out[n].append((a + s + left, kind, a + s + left + len(value)))
+    for a, b in chunks(texts, BATCH):
+        scores, bounds = emissions(texts[a:b], model)
+        tags = viterbi(scores, model.weights["m"], bounds)
+        for s, e in _runs(tags, bounds):
+            n = int(np.searchsorted(bounds, s, "right")) - 1
+            s, e, kind = s - int(bounds[n]), e - int(bounds[n]), int(tags[s]) - 1
+            value = texts[a + n][s:e]
+            left = len(value) - len(value.lstrip())
+            value = value.strip()
+            if _fits(kind, value):
+                out[a + n].append((s + left, kind, s + left + len(value)))
     return out
 
 
-def _runs(tags: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of tags of one kind; a begin tag starts a new one."""
-    begin = None
-    for k, t in enumerate(tags):
-        if begin is not None and (t == 0 or t % 2 == 1 or (t - 1) // 2 != (tags[begin] - 1) // 2):
-            yield begin, k
-            begin = None
-        if t and begin is None:
-            begin = k
-    if begin is not None:
-        yield begin, len(tags)
+def _runs(tags: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of one tag other than 0 inside one text."""
+    cut = np.ones(len(tags) + 1, bool)
+    cut[1:-1] = tags[1:] != tags[:-1]
+    cut[bounds] = True
+    cuts = np.flatnonzero(cut)
+    some = np.flatnonzero(tags[cuts[:-1]]) if len(tags) else []
+    return [(int(cuts[k]), int(cuts[k + 1])) for k in some]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -192,15 +192,6 @@ def test_license_inheritance(spark):
     assert got["a/b/own.txt"] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None) and got["a/bb/z.txt"][1] == "MIT" and got[None] == (None, None, None)
 
 
-def test_tagger_adds_and_base_stays():
-    model = pii.tagger()
-    text = "call (212) 555-0187 now or write to jo.doe@mail3.example.com about 10.1.2.3 today"
-    base = pii.base_spans(text)
-    assert [(k, text[s:e]) for s, k, e in base] == [(0, "jo.doe@mail3.example.com"), (1, "10.1.2.3")]
-    added = [text[s:e] for s, k, e in pii.tagged_spans([text], model)[0] if k == 3]
-    assert added == ["(212) 555-0187"]
-
-
 def test_ids_of_added_tokens_equal_tokenizers(spark):
     """With the tokenizer's own settings, in which added tokens are found in texts."""
     import public_tokenizers

@@ -1,6 +1,7 @@
 """The opN queries and the pipeline on sf0.001 and sf0.01: SQL where there is any, else brute force."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -64,18 +65,51 @@ def test_near_dedup_equals_brute_force(spark, docs):
     assert got == want
 
 
-def test_pii_base_spans_equal_patterns(spark, docs):
-    from tessera.llm.pii import luhn
+def plain_pii(text):
+    """(start, kind, end) by the patterns as the contract writes them."""
 
-    for r in Q.op2_pii(spark, SF).collect():
-        text = next(d["text"] for d in docs if d["doc_id"] == r["doc_id"]) if r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] else None
-        if text is None:
+    def luhn(digits):
+        return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.findall("[0-9]", m[0])) <= 15]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", SF])
+def test_pii_equals_patterns_and_tagger_on_every_row(spark, folder):
+    """Base spans, counts and digests of all rows. In the smaller table also the other spans: the
+    tagger's, decoded text by text with a plain Viterbi pass."""
+    from tessera.llm import pii
+
+    from .test_pii import plain_viterbi
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in Q.op2_pii(spark, folder).collect()}
+    assert sorted(got) == sorted(d["doc_id"] for d in docs)
+    model, names = pii.tagger(), ("email", "ip", "card", "phone")
+    for d in docs:
+        r, text = got[d["doc_id"]], d["text"] or ""
+        base = plain_pii(text)
+        joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in base)
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(x[1] == k for x in base) for k in range(4))
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        if folder == SF:
+            assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
             continue
-        emails = re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)
-        ips = [m[0] for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
-        cards = [d for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)]
-        phones = [m[0] for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.findall("[0-9]", m[0])) <= 15]
-        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (len(emails), len(ips), len(cards), len(phones))
+        scores, _ = pii.emissions([text], model)
+        tags = plain_viterbi(scores, model.weights["m"])
+        more = []
+        for k in range(1, 5):
+            for run in re.finditer(f"{k}+", "".join(map(str, tags))):
+                value = text[run.start() : run.end()]
+                s = run.start() + len(value) - len(value.lstrip())
+                e = s + len(value.strip())
+                if pii._fits(k - 1, value.strip()) and all(e <= x[0] or s >= x[2] for x in base):
+                    more.append((s, k - 1, e))
+        assert r["spans"] == ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(base + more))
 
 
 def test_html_text_equals_articles(spark):
@@ -93,7 +127,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces = collections.defaultdict(dict)
     sequences = collections.defaultdict(list)
     for r in Q.op4_packing(spark, SF).collect():
