@@ -5,7 +5,9 @@ counts of the bytes that followed it in training. A text's code length under a l
 for these frozen counts: the longest known context predicts the byte with count / (total +
 distinct); an unseen byte costs the escape distinct / (total + distinct) and goes on with the next
 shorter context, down to 8 bits for any byte. Symbols that a longer context ruled out are not
-excluded from shorter ones. The language with the shortest code wins.
+excluded from shorter ones. The language with the shortest code wins. If asked, a text is rejected
+whose code is longer, by more than REJECT_BITS, than one that knows no language: byte frequencies of
+all languages together, or 8 bits a byte.
 
 A byte's cost depends on at most order + 1 bytes. So a batch of texts is turned into n-gram codes,
 costs are worked out once per distinct n-gram, and gathered: whole texts, no Python loop per byte.
@@ -27,6 +29,10 @@ from .common import append_columns
 ORDER = 3
 #: Bound on the training sample: rows per language, taken by hash of their id.
 ROWS_PER_LANGUAGE = 300
+#: Bound on the languages of the sample: those with most rows.
+LANGUAGES = 1000
+#: A text is rejected if knowing no language is 2^16 times as likely.
+REJECT_BITS = 16
 #: Bytes that are scored at once.
 WINDOW = 1 << 20
 UNDETERMINED = "und"
@@ -85,40 +91,48 @@ class Model:
     languages: list[str]
     trees: list[Tree]
     order: int
+    background: Tree | None = None  # byte frequencies of all languages together
 
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits by language and text."""
+    def code_lengths(self, texts: list[bytes], trees: list[Tree] | None = None) -> np.ndarray:
+        """Bits by language (or given tree) and text."""
+        trees = self.trees if trees is None else trees
         order, pad = self.order, bytes(self.order)
         data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
         starts = np.cumsum([0, *(len(t) + order for t in texts)]).astype(np.int64)[:-1]
         padding = (starts[:, None] + np.arange(order)).ravel()
-        out = np.zeros((len(self.languages), len(texts)))
+        out = np.zeros((len(trees), len(texts)))
         for begin in range(order, len(data), WINDOW):
             end = min(begin + WINDOW, len(data))
             codes, distinct = pd.factorize(ngrams(data[begin - order : end].astype(np.uint64), order))
             inside = padding[np.searchsorted(padding, begin) : np.searchsorted(padding, end)] - begin
             a, b = np.searchsorted(starts, begin, "right") - 1, np.searchsorted(starts, end - 1, "right")
             parts = np.maximum(starts[a:b], begin) - begin
-            for k, tree in enumerate(self.trees):
+            for k, tree in enumerate(trees):
                 cost = tree.bits(distinct)[codes]
                 cost[inside] = 0
                 out[k, a:b] += np.add.reduceat(cost, parts)
         return out
 
-    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[bytes], reject: bool = False) -> tuple[list[str], np.ndarray]:
         """The language with the shortest code (of equals, the first by name), and its posterior
-        probability if all languages are as likely beforehand."""
-        bits = self.code_lengths(texts)
-        best = bits.argmin(0)
-        return [self.languages[k] for k in best], 1 / np.exp2(np.maximum(bits.min(0) - bits, -1000)).sum(0)
+        probability if all languages are as likely beforehand. With reject, und and 0 for texts
+        that no language explains."""
+        bits = self.code_lengths(texts, [*self.trees, self.background] if reject else None)
+        plain, bits = bits[-1], bits[: len(self.trees)]
+        best, least = bits.argmin(0), bits.min(0)
+        names, p = [self.languages[k] for k in best], 1 / np.exp2(np.maximum(least - bits, -1000)).sum(0)
+        if reject:
+            good = least <= np.minimum(plain, [8 * len(t) for t in texts]) + REJECT_BITS
+            names, p = [n if g else UNDETERMINED for n, g in zip(names, good, strict=True)], np.where(good, p, 0)
+        return names, p
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int) -> list:
-    """At most so many rows of each language, by hash of the id. A first cut by each language's
-    count keeps the ranked rows few, whatever language holds most of them."""
-    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 32))
+    """At most so many rows of each language, by hash of id and text. A first cut by each
+    language's count keeps the ranked rows few, whatever language holds most of them."""
+    h = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 32))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), h.alias("_h")).filter("_text is not null and _lang is not null")
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()}
     picked = []
     for lang in sorted(counts):
         cut = min(1.0, 3 * rows_per_language / counts[lang] + 1e-6) * (1 << 32)
@@ -138,14 +152,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, text in training_sample(docs, id_col, text_col, lang_col, rows_per_language):
         texts.setdefault(lang, []).append(text.encode("utf-8", "replace"))
     names = sorted(texts)
-    return Model(names, [Tree.grown(texts[n], order) for n in names], order)
+    return Model(names, [Tree.grown(texts[n], order) for n in names], order, Tree.grown([t for n in names for t in texts[n]], 0))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, reject: bool = False) -> DataFrame:
     """One row per row of docs: id (or the columns in keep), lang_pred, score.
 
     A text that is null or has no letter gives ``und`` and 0, as does every text if the model has
-    no language. Null and repeated ids keep their rows; other columns are ignored, whatever their
+    no language, and with reject a text that no language explains.
+    Of languages with equal codes, the first by name is taken. Null and repeated ids keep their rows; other columns are ignored, whatever their
     names; an empty table gives no rows. Whole texts are scored, however long.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -157,7 +172,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         lang, p = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
         some = [k for k, t in enumerate(texts) if t is not None] if model.languages else []
         if some:
-            lang[some], p[some] = model.predict([texts[k].encode("utf-8", "replace") for k in some])
+            lang[some], p[some] = model.predict([texts[k].encode("utf-8", "replace") for k in some], reject)
         return [pa.array(lang, pa.string()), pa.array(p)]
 
     return append_columns(rows, "_lettered", keep, "lang_pred string, score double", score)

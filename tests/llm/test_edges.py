@@ -116,20 +116,18 @@ def test_language_without_letters(docs):
     assert got[2]["lang_pred"] == got[4]["lang_pred"] == "und" and got[1]["lang_pred"] == "en" and got[2**60]["lang_pred"] == "en"
 
 
-def test_code_lengths_equal_a_plain_loop():
+def plain_bits(texts, text, order):
+    """The code length of text after training on texts, byte by byte."""
     import math
 
-    texts, order = [b"abracadabra", b"abba"], 3
-    tree = language_id.Tree.grown(texts, order)
     counts: dict = {}
     for t in texts:
         padded = bytes(order) + t
         for i in range(order, len(padded)):
             for k in range(order + 1):
-                counts.setdefault(padded[i - k : i], {}).setdefault(padded[i], 0)
-                counts[padded[i - k : i]][padded[i]] += 1
-    text = b"abracabcz"
-    padded, want = bytes(order) + text, 0.0
+                seen = counts.setdefault(padded[i - k : i], {})
+                seen[padded[i]] = seen.get(padded[i], 0) + 1
+    padded, bits = bytes(order) + text, 0.0
     for i in range(order, len(padded)):
         for k in range(order, -1, -1):
             seen = counts.get(padded[i - k : i])
@@ -137,13 +135,51 @@ def test_code_lengths_equal_a_plain_loop():
                 continue
             whole = sum(seen.values()) + len(seen)
             if padded[i] in seen:
-                want += math.log2(whole / seen[padded[i]])
+                bits += math.log2(whole / seen[padded[i]])
                 break
-            want += math.log2(whole / len(seen))
+            bits += math.log2(whole / len(seen))
         else:
-            want += 8
-    model = language_id.Model(["x"], [tree], order)
-    assert model.code_lengths([text, text * 3])[0, 0] == pytest.approx(want)
+            bits += 8
+    return bits
+
+
+def test_code_lengths_equal_a_plain_loop():
+    texts, order = [b"abracadabra", b"abba"], 3
+    model = language_id.Model(["x"], [language_id.Tree.grown(texts, order)], order)
+    text = b"abracabcz"
+    assert model.code_lengths([text, text * 3])[0, 0] == pytest.approx(plain_bits(texts, text, order))
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    rows = [(1, "the same words", "b"), (2, "the same words", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(df, language_id.train(df)).collect()} == {"a"}
+
+
+def test_pipeline_language_stage_rejects_by_the_model(spark):
+    """Against code lengths from a plain loop: other scripts and noise go, learned languages stay,
+    whatever the lang column says, with null and repeated ids, nulls and clashing columns."""
+    import corpus_pipeline
+
+    en = ["the house is on the hill and the river runs by it", "she said that there was nothing left to do in the town"]
+    de = ["das haus steht auf dem hügel und der fluss fließt vorbei", "sie sagte dass es in der stadt nichts mehr zu tun gab"]
+    learned = [(k, t, lang) for k, (t, lang) in enumerate([*((t, "en") for t in en), *((t, "de") for t in de)])]
+    new = [(None, "there is a hill and a town on the river"), (None, "0x9f QZXJ kqv-77 WVXZ jjqzk QQXV zkq"), (0, "сегодня хорошая погода и мы идём гулять"), (0, "die stadt auf dem hügel"), (7, None), (7, "12 + 34"), (8, "")]
+    rows = [*((*r, "clash") for r in learned), *((k, t, None, "clash") for k, t in new)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, text_key string")
+    got = sorted(map(str, ((r["doc_id"], r["text"], r["lang"], r["text_key"]) for r in corpus_pipeline.language_id(spark, df, "").collect())))
+    trained = {"en": [t.encode() for t in en], "de": [t.encode() for t in de]}
+
+    def kept(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return False
+        b = text.encode()
+        plain = min(8 * len(b), plain_bits(trained["de"] + trained["en"], b, 0))
+        return min(plain_bits(t, b, 3) for t in trained.values()) <= plain + language_id.REJECT_BITS
+
+    assert got == sorted(map(str, (r for r in rows if kept(r[1]))))
+    assert [kept(t) for _, t in new] == [True, False, False, True, False, False, False]
+    assert corpus_pipeline.language_id(spark, df.limit(0), "").collect() == []
 
 
 def test_ledger_scans_only_what_is_new(spark):
