@@ -270,13 +270,30 @@ def test_stages_tell_rows_of_an_id_apart(spark, tmp_path):
     rows = [(1, near), (7, near.upper()), (7, other), (None, f"so {passage}"), (None, clean), (9, f"then {passage}"), (9, whole), (None, "12 34"), (8, "!!"), (8, twice), (5, twice), (8, last)]
     gone = [[(None, "12 34"), (8, "!!")], [(8, twice)], [(7, near.upper())], [(None, f"so {passage}"), (9, f"then {passage}")]]
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    df, left = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), set(rows)
+    schema = "doc_id long, text string, lang string, text_key string, _id long, norm string, text_sha256 string"
+
+    def table(rows):
+        return spark.createDataFrame([(*r, "en", "own", 5, "own", "own") for r in rows], schema)
+
+    df, left = table(rows), set(rows)
     for (name, stage), dropped in zip(corpus_pipeline.STAGES, gone):
         df = stage(spark, df, str(tmp_path))
         left -= set(dropped)
         assert sorted(map(str, left)) == sorted(str((r["doc_id"], r["text"])) for r in df.collect()), name
-        df = spark.createDataFrame([(*r, "en") for r in left], "doc_id long, text string, lang string")
+        assert {(r["text_key"], r["_id"], r["norm"], r["text_sha256"]) for r in df.collect()} == {("own", 5, "own", "own")}
+        assert df.columns == table([]).columns and stage(spark, table([]), str(tmp_path)).collect() == []
+        df = table(left)
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.packing(spark, df, str(tmp_path)).collect()) == sorted(str(k) for k, _ in left)
+    assert corpus_pipeline.packing(spark, table([]), str(tmp_path)).collect() == []
+
+
+def test_equal_rows_with_one_id_stay_once(spark):
+    import corpus_pipeline
+
+    rows = [(1, "same text"), (1, "same text"), (1, "same  text"), (None, "other"), (None, "other"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_exact(spark, df, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "same  text"), (None, "other"), (2, None)]))
 
 
 def test_estimate_loses_fewer_pairs_than_bands():
