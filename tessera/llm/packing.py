@@ -12,8 +12,9 @@ on the driver from their counts, whatever the number of documents, and is itself
 4. Small lengths, longest first, go where they fit best; new sequences are opened at the end.
 
 The plan maps (length, rank among the pieces of that length) to a sequence and an offset. Ranks
-are distributed: pieces of a length are dealt into buckets of about BUCKET rows by hash, ranked
-inside them, and shifted by the counts of earlier buckets; no length is ranked in one task.
+are distributed: pieces of a length are dealt into buckets of about BUCKET rows, ranked inside them,
+and shifted by the counts of earlier buckets, which are summed in two levels; no length is ranked
+or summed in one task.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bound_batches, materialize
 
 CAPACITY = 2048
 #: Boundaries between small and large that are planned; the plan with fewest sequences is used.
-SMALL_PARTS, GROUPS = (2, 3, 4, 8), 1024
-BUCKET = 1000
+SMALL_PARTS, GROUPS = (2, 3, 4, 8), 64
+BUCKET = 200
 #: Ends each document.
 END_ID = 0
 #: The added tokens of byte_bpe_50k.json, found in texts before any splitting.
@@ -60,20 +62,28 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, capacity: int, with_ids: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 (of unsigned little-endian 32-bit ids), and if asked ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = f"piece int, start long, length long, ids_crc32 long{', ids array<int>' if with_ids else ''}"
+    schema = StructType().add("id", "long")
+    for f in StructType.fromDDL(kind):
+        schema = schema.add(f.name, f.dataType)
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = functools.partial(encoder(ranks_path, pattern).encode, allowed_special=set(ADDED))
         for batch in batches:
-            out = []
-            for k, text in zip(batch["id"], batch["text"], strict=True):
+            rows, out = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*encode(text), END_ID], "<u4")
                 for p, (start, n) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + n]
-                    out.append((k, p, start, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                    rows.append(k)
+                    out.append((p, start, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
+            made = [pa.array([r[c] for r in out], t) for c, t in enumerate(types[: len(schema) - 1])]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *made], names=schema.names)
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(run, schema)
 
 
 class Plan:
@@ -235,22 +245,31 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     rank file is read on the executors from ranks_path, which every node must have.
     """
     spark = docs.sparkSession
-    cut_up = materialize(pieces(docs, id_col, text_col, ranks_path, pattern, capacity, with_ids), "pieces")
+    made = pieces(docs, id_col, text_col, ranks_path, pattern, capacity, with_ids)
+    # Dealt by where a row lies, so that even equal rows spread; written, so that it stays so.
+    cut_up = materialize(made.withColumn("lot", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     counts = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}  # at most capacity rows
     plan = spark.sparkContext.broadcast(best_plan(counts, capacity).table())
     known = spark.createDataFrame([(n, -(-c // BUCKET)) for n, c in counts.items()], "length long, buckets long")
-    dealt = cut_up.join(F.broadcast(known), "length").withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
-    sizes = dealt.groupBy("length", "bucket").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("length", "bucket", before.alias("base"))
+    dealt = cut_up.join(F.broadcast(known), "length").withColumn("bucket", F.pmod("lot", "buckets")).drop("buckets", "lot")
+    sizes = materialize(dealt.groupBy("length", "bucket").count(), "sizes")
+    # Counts before each bucket, by blocks of buckets: no length's buckets are summed in one task.
+    block = F.floor(F.col("bucket") / BUCKET)
+    each = sizes.withColumn("block", block)
+    blocks = each.groupBy("length", "block").agg(F.sum("count").alias("count"))
+    earlier = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("length", "block", earlier.alias("earlier"))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("length", "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = each.withColumn("before", before).join(blocks, ["length", "block"]).select("length", "bucket", (F.col("before") + F.col("earlier")).alias("base"))
     place_in = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("place", place_in).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("place")).drop("bucket", "place", "base")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, o = place(plan.value, batch["length"].to_numpy(), batch["rank"].to_numpy())
-            yield batch.drop(columns="rank").assign(sequence_id=s, offset=o)
+            s, o = place(plan.value, batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+            kept = [batch.column(c) for c in columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.int64()), pa.array(o, pa.int64())], names=schema.names)
 
-    kind = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
     columns = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "rank"]
-    return ranked.select(*columns).mapInPandas(run, kind).withColumnRenamed("id", id_col)
+    schema = ranked.select(*columns[:-1]).schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.select(*columns).mapInArrow(run, schema).withColumnRenamed("id", id_col)
