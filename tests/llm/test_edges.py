@@ -317,3 +317,47 @@ def test_explicit_articles_win_over_names():
         f'<body><div class="page has-sidebar"><main>{article}</main>{side}</div>{comment}</body>',
     ]
     assert html_extract.main_texts(pages) == [f"{title}\n\n{text}"] * 3
+
+
+def test_class_names_of_states_and_linked_paragraphs():
+    first, second = "A first paragraph of the article, with several words in it and more.", "Another paragraph of the article, with as many words in it as the first."
+    nav = '<ul class="menu"><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul>'
+    page = f"""<body>{nav}<article class="post has-sidebar no-comments"><header class="entry-header"><h1><a href="/x">The title</a></h1></header>
+    <p>{first}</p><p><a href="/y">A paragraph that is a link as a whole</a></p><p>{second}</p></article><div class="sidebar"><p>{first}</p></div></body>"""
+    assert html_extract.main_texts([page]) == [f"The title\n\n{first}\n\nA paragraph that is a link as a whole\n\n{second}"]
+
+
+def test_formulas_stay_in_their_block():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and go on with many other words here.</p><p>Then there is more text to read here as well.</p></article>"
+    assert html_extract.main_texts([page])[0].startswith("Let x=2 and go on")
+
+
+@pytest.mark.parametrize("open_", ['<p a="', "<a <b ", "<!-- ", "</p", "<div>", "</b></i>", "<![CDATA[", "<p a= "])
+def test_open_markup_takes_linear_time(open_):
+    import time
+
+    for tail in ("", ">"):
+        began = time.thread_time()
+        html_extract.main_texts([open_ * (1_000_000 // len(open_)) + tail])
+        assert time.thread_time() - began < 20
+
+
+def test_long_texts_in_frames_go_and_articles_stay():
+    """Whatever is around them: the table teaches the tree what frames and articles are."""
+    import itertools
+
+    import numpy as np
+
+    around = [(0, 0), (2, 1), (50, 0), (9, 1), (300, 0)]
+    x = np.array([(w, d, *a, *b, 1, h) for w in (1, 3, 9, 30, 80, 200, 900) for d in (0, 0.2, 0.4) for a, b in itertools.product(around, around) for h in (0, 1)], float)
+    assert html_extract.classify(x).all()
+    x[:, 6] = -1
+    assert not html_extract.classify(x).any()
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    """2^60 + 1 is no float."""
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "some text"), (big, "other text"), (big, None)], "doc_id long, text string").coalesce(1)
+    for name in ("html", "pack", "pii"):
+        assert sorted(str(r["doc_id"]) for r in OPERATORS[name](df).collect()) == [str(big), str(big), "None"], name
