@@ -1,26 +1,29 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor folder.
 
-Texts are cut into sentences. Those with a cue word become sparse TF-IDF vectors of words and word
-pairs and are compared by cosine with license notices; whole texts with several cues are compared
-with license texts too. Document frequencies are counted over all files. A file named like a
-license file licenses its folder; a file without a license of its own inherits from the nearest
-ancestor folder that has one, by an equi-join of folders with their ancestors.
+A file's sentences, its paragraphs and the whole text become sparse TF-IDF vectors of words and word
+pairs and are compared by cosine with license notices and openings of license texts. Every part of
+every file gets a vector, whatever it says. Document frequencies are those of all words and pairs of
+all files, counted in PLACES hash buckets, so that the table that is broadcast has a fixed size. A
+file named like a license file licenses its folder; a file without a license of its own inherits
+from the nearest ancestor folder that has one, by an equi-join of folders with their ancestors.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, materialize, sized
+from .common import append_columns, bound_batches, encoded, materialize, sized
+from .hashing import LETTERS, chunks, mix, word_hashes, word_starts
 
 THRESHOLD = 0.5
-CUE = r"(?i)licen[sc]e|copyright|spdx|permission is hereby|redistribution|gnu |apache|creative commons|public domain|\bCC[ -]BY|\bCC0"
+#: Bits of the hash buckets of document frequencies.
+PLACE_BITS = 18
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 
 #: Notices by license, as people write them, and opening words of license texts.
@@ -49,77 +52,121 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-_WORD = re.compile(r"[a-z]+|[0-9]+")
-_SENTENCE = re.compile(r"(?:[^.\n]|\.(?![\s]|\Z))+[.]?")
-_CUE = re.compile(CUE)
+_SENTENCE_END = re.compile(rb"[.](?=\s|\Z)|\n")
+_PARAGRAPH_END = re.compile(rb"\n[ \t\r*#/]*\n")
+_PAIR, _UNIT = np.uint64(0x632BE59BD9B4E019), np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def terms(h: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words and pairs of neighbours of each unit: term hash, unit, count. h: hashes of
+    words in order; unit: which unit each belongs to, ascending."""
+    with np.errstate(over="ignore"):
+        same = unit[1:] == unit[:-1]
+        h, unit = np.concatenate([h, mix(h[:-1] * _PAIR + h[1:])[same]]), np.concatenate([unit, unit[1:][same]])
+        _, first, count = np.unique(mix(h ^ (unit.astype(np.uint64) * _UNIT)), return_index=True, return_counts=True)
+    return h[first], unit[first], count
 
 
-def terms(text: str) -> Counter:
-    w = words(text)
-    return Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
-
-
-VOCABULARY = sorted({w for _, t in TEMPLATES for w in words(t)})
+def place_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
 
 class Matcher:
-    """Templates as unit TF-IDF vectors; a pair's frequency is taken as that of its rarer word."""
-
-    def __init__(self, frequency: dict[str, int], files: int):
-        self.frequency, self.files = frequency, files
-        own = Counter(w for _, t in TEMPLATES for w in set(words(t)))
-        self.own = own
-        self.templates = [(name, self.vector(terms(t))) for name, t in TEMPLATES]
-
-    def idf(self, term: str) -> float:
-        """From all files and from the templates, so that words common to notices weigh little."""
-        parts = term.split(" ")
-        n = min(self.frequency.get(w, 0) for w in parts)
-        m = min(self.own.get(w, 0) for w in parts)
-        return math.log((self.files + 1) / (n + 1)) / math.log(self.files + 2) + math.log((len(TEMPLATES) + 1) / (m + 1))
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf(t) for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1
-        return {t: x / norm for t, x in v.items()}
-
-    def best(self, text: str) -> tuple[str | None, float, int, int]:
-        """(license, cosine, start, end) of the best sentence, the earliest of equals; or nothing."""
-        found: tuple[str | None, float, int, int] = (None, 0.0, 0, 0)
-        spans = [(m.start(), m.end()) for m in _SENTENCE.finditer(text) if _CUE.search(m[0])]
-        if len(spans) > 1:
-            spans.append((spans[0][0], spans[-1][1]))  # a license text
-        for a, b in spans:
-            v = self.vector(terms(text[a:b]))
-            for name, t in self.templates:
-                c = sum(x * v.get(k, 0.0) for k, x in t.items())
-                if c >= THRESHOLD and c > found[1] + 1e-9:
-                    found = (name, min(c, 1.0), a, b)
-        return found
+    """Templates as unit TF-IDF vectors; frequency: files that hold a term of each bucket."""
+
+    def __init__(self, frequency: np.ndarray, files: int):
+        n = len(TEMPLATES)
+        h, bounds = word_hashes([t.encode() for _, t in TEMPLATES], LETTERS)
+        h, unit, count = terms(h, np.repeat(np.arange(n), np.diff(bounds)))
+        self.keys, at, own = np.unique(h, return_inverse=True, return_counts=True)
+        # From all files and from the templates, so that words common to notices weigh little.
+        self.from_files = np.log((files + 1) / (frequency + 1)) / np.log(files + 2)
+        self.from_templates, self.other = np.log((n + 1) / (own + 1)), np.log(n + 1)
+        w = (1 + np.log(count)) * (self.from_files[place_of(h)] + self.from_templates[at])
+        self.weights = np.zeros((n, len(self.keys)))
+        self.weights[unit, at] = w / np.sqrt(np.bincount(unit, w * w, n))[unit]
+
+    def cosines(self, h: np.ndarray, unit: np.ndarray, units: int) -> np.ndarray:
+        """By template and unit."""
+        h, unit, count = terms(h, unit)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        known = self.keys[at] == h
+        w = (1 + np.log(count)) * (self.from_files[place_of(h)] + np.where(known, self.from_templates[at], self.other))
+        norm = np.sqrt(np.bincount(unit, w * w, units))
+        at, unit, w = at[known], unit[known], w[known]
+        return np.stack([np.bincount(unit, w * row[at], units) for row in self.weights]) / np.maximum(norm, 1e-300)
+
+    def best(self, texts: list[bytes]) -> list[tuple[str | None, float | None, int | None, int | None]]:
+        """(license, cosine, start, end) of each text's best part: the earliest of equals, then the
+        shortest; code points. Nones if no part reaches the threshold."""
+        out: list = [(None, None, None, None)] * len(texts)
+        for a, b in chunks(texts):
+            part = texts[a:b]
+            h, bounds = word_hashes(part, LETTERS)
+            starts, ends = word_starts(part, LETTERS)
+            if not len(h):
+                continue
+            doc = np.repeat(np.arange(len(part)), np.diff(bounds))
+            shift = np.cumsum([0, *(len(t) + 1 for t in part)])[:-1]
+            found = []  # document, cosine, first word, words, template
+            for cut in (_SENTENCE_END, _PARAGRAPH_END, None):
+                cuts = [] if cut is None else [m.end() + s for t, s in zip(part, shift.tolist(), strict=True) for m in cut.finditer(t)]
+                unit = np.searchsorted(np.array(cuts, np.int64), starts, "right") + doc  # grows at cuts and texts
+                first = np.flatnonzero(np.diff(unit, prepend=-1))
+                unit = np.cumsum(np.diff(unit, prepend=-1) > 0) - 1
+                c = self.cosines(h, unit, len(first))
+                top = c.argmax(0)
+                c = np.round(c[top, np.arange(len(first))], 9)
+                good = np.flatnonzero(c >= THRESHOLD)
+                size = np.diff(np.append(first, len(h)))
+                found += zip(doc[first[good]].tolist(), (-c[good]).tolist(), first[good].tolist(), size[good].tolist(), top[good].tolist(), strict=True)
+            seen = set()
+            for d, c, first, size, top in sorted(found):
+                if d not in seen:
+                    seen.add(d)
+                    s, e = int(starts[first] - shift[d]), int(ends[first + size - 1] - shift[d])
+                    begin = len(part[d][:s].decode("utf-8", "replace"))
+                    out[a + d] = (TEMPLATES[top][0], min(-c, 1.0), begin, begin + len(part[d][s:e].decode("utf-8", "replace")))
+        return out
 
 
 def fit(files: DataFrame, text_col: str = "text") -> Matcher:
-    """Counts, over all files, how many hold each word of the templates (a bounded vocabulary)."""
-    held = F.array_intersect(F.split(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z0-9]+"), F.array(*map(F.lit, VOCABULARY)))
-    rows = files.select(F.explode(held).alias("w")).groupBy("w").count().collect()
-    return Matcher({r["w"]: r["count"] for r in rows}, files.count())
+    """Counts, over all files, how many hold a term of each bucket. Tasks add up their batches and
+    give one row a bucket; the result has at most 2^PLACE_BITS rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(1 << PLACE_BITS, np.int64), 0
+        for batch in batches:
+            texts = encoded(batch.column(0).to_pylist())
+            rows += len(texts)
+            for a, b in chunks(texts):
+                h, bounds = word_hashes(texts[a:b], LETTERS)
+                h, doc, _ = terms(h, np.repeat(np.arange(b - a), np.diff(bounds)))
+                held = np.unique(doc << PLACE_BITS | place_of(h)) & ((1 << PLACE_BITS) - 1)
+                counts += np.bincount(held, minlength=1 << PLACE_BITS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], rows))], names=["place", "n"])
+
+    bound_batches(files.sparkSession)
+    summed = files.select(F.col(text_col).alias("text")).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    frequency, total = np.zeros(1 << PLACE_BITS), 0
+    got = summed.toArrow()
+    place, n = got.column("place").to_numpy(), got.column("n").to_numpy()
+    total = int(n[place < 0].sum())
+    frequency[place[place >= 0]] = n[place >= 0]
+    return Matcher(frequency, total)
 
 
 def detect(files: DataFrame, matcher: Matcher, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """path, kept columns, license, score, start, end: the best notice of each whole text."""
     sent = files.sparkSession.sparkContext.broadcast(matcher)
-    rows = files.select(F.col(path_col).alias("path"), *keep, F.when(F.col(text_col).rlike(CUE), F.col(text_col)).alias("_cued"))
+    rows = files.select(F.col(path_col).alias("path"), *keep, F.col(text_col).alias("_text"))
 
     def run(texts: list[str | None]) -> list[pa.Array]:
-        out = [(None, None, None, None) if t is None else sent.value.best(t) for t in texts]
-        out = [r if r[0] else (None, None, None, None) for r in out]
+        out = sent.value.best(encoded(texts))
         return [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
 
-    return append_columns(rows, "_cued", ["path", *keep], "license string, score double, start long, end long", run)
+    return append_columns(rows, "_text", ["path", *keep], "license string, score double, start long, end long", run)
 
 
 def folder(path):

@@ -361,3 +361,43 @@ def test_ids_beside_nulls_stay_exact(spark):
     df = spark.createDataFrame([(None, "some text"), (big, "other text"), (big, None)], "doc_id long, text string").coalesce(1)
     for name in ("html", "pack", "pii"):
         assert sorted(str(r["doc_id"]) for r in OPERATORS[name](df).collect()) == [str(big), str(big), "None"], name
+
+
+def test_license_cosines_equal_plain_vectors(spark):
+    """Every part of every text against dictionaries of counts; ties go to the first template."""
+    import collections
+    import math
+    import re
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["", None, "Granted, free of charge, to any person obtaining a copy of this software.", " * Redistribution and use in source\n * and binary forms, with or without\n * modification, are permitted\n\nother words follow here", "the the the of of", "É. Released under the MIT License."]
+
+    def words(t):
+        return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+    def terms(t):
+        w = words(t)
+        return collections.Counter([*w, *zip(w, w[1:])])
+
+    held = collections.Counter(x for t in texts for x in terms(t))
+    own = collections.Counter(x for _, t in licenses.TEMPLATES for x in terms(t))
+    n, m = len(texts), len(licenses.TEMPLATES)
+
+    def vector(t):
+        v = {x: (1 + math.log(c)) * (math.log((n + 1) / (held[x] + 1)) / math.log(n + 2) + math.log((m + 1) / (own[x] + 1))) for x, c in terms(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {x: y / norm for x, y in v.items()}
+
+    templates = [(name, vector(t)) for name, t in licenses.TEMPLATES]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    got = {r["path"]: r for r in licenses.detect(df, licenses.fit(df)).collect()}
+    licensed = 0
+    for k, t in enumerate(texts):
+        parts = [p for cut in (r"[.](?=\s|\Z)|\n", r"\n[ \t\r*#/]*\n", r"\Z") for p in re.split(cut, t or "") if words(p)]
+        best = max(((sum(y * v.get(x, 0) for x, y in u.items()), name) for p in parts for v in [vector(p)] for name, u in templates), default=(0, None))
+        r = got[str(k)]
+        assert (r["license"] is not None) == (best[0] >= licenses.THRESHOLD), (best, t)
+        if r["license"]:
+            licensed += 1
+            assert r["score"] == pytest.approx(best[0], abs=0.02) and r["license"] == best[1]  # buckets may be shared
+    assert licensed > 3 and got[str(len(texts) - 1)]["start"] == 3 and got[str(len(texts) - 4)]["license"] == "MIT" and got[str(len(texts) - 3)]["license"] == "BSD-3-Clause"
