@@ -2,8 +2,9 @@
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger holds one row
 per (blob, rule version) with that blob's findings; a scan reads only the pairs it lacks, appends
-them, and joins findings back to all paths that ever held the blob. All of it is DataFrame code:
-matches come from regexp_extract_all, their places from the lengths of the gaps that split leaves
+them, and joins findings back to all paths that ever held the blob. Hashes travel, texts don't: which
+blobs are new and which rows repeat one is settled on hashes, one row of each new blob is scanned
+where it lies, and the key sets are broadcast where they fit. All of it is DataFrame code: matches come from regexp_extract_all, their places from the lengths of the gaps that split leaves
 between them.
 """
 
@@ -14,8 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import BROADCAST_BYTES, materialize, sized, text_or_empty
 
+#: Bytes that a broadcast hash with its path, and a finding takes, generously.
+BLOB_BYTES, FINDING_BYTES = 192, 96
 FINDING = "array<struct<start:long,ord:int,kind:string,end:long>>"
 
 
@@ -72,31 +75,33 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.hint), folded).otherwise(F.array().cast(FINDING))
 
 
-def blobs(history: DataFrame, text_col: str = "text") -> DataFrame:
-    """blob and text, each content once. The text is part of the grouping key, so copies meet
-    before the shuffle and a hot blob costs one row a task."""
-    text = text_or_empty(text_col)
-    return history.select(F.sha2(text, 256).alias("blob"), text.alias("text")).distinct()
-
-
-def scan_unseen(history: DataFrame, ledger: DataFrame | None, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_unseen(history: DataFrame, ledger: DataFrame | None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The ledger's missing rows: blob, rule_version, findings (ordered by start, then rule).
 
-    ledger: blob, rule_version, findings as earlier scans returned them, or None.
+    ledger: blob, rule_version, findings as earlier scans returned them, or None. Of rows with one
+    content, that of the smallest path is scanned; rows that share the path too meet afterwards.
     """
     version = rule_version(rules)
-    seen = None if ledger is None else ledger.filter(F.col("rule_version") == version).select("blob")
-    fresh = history.select(text_or_empty(text_col).alias("text"))
-    if seen is not None:  # by hash, before any text is shuffled for content addressing
-        fresh = fresh.withColumn("blob", F.sha2("text", 256)).join(seen, "blob", "left_anti")
+    text = text_or_empty(text_col)
+    versions = materialize(history.select(F.sha2(text, 256).alias("blob"), F.col(path_col).alias("path")), "versions")
+    rows = history.select(F.col(path_col).alias("_path"), text.alias("text"), F.sha2(text, 256).alias("blob"))
+    if ledger is not None:
+        seen = materialize(ledger.filter(F.col("rule_version") == version).select("blob").distinct(), "seen")
+        new = materialize(versions.select("blob").distinct().join(seen, "blob", "left_anti"), "new")
+        few = sized(new, BLOB_BYTES, broadcast_bytes)
+        rows = rows.join(few, "blob", "left_semi") if few is not new else rows.join(sized(seen, BLOB_BYTES, broadcast_bytes), "blob", "left_anti")
+        versions = versions.join(new, "blob", "left_semi")
+    repeated = versions.groupBy("blob").agg(F.count("*").alias("n"), F.min("path").alias("_first")).filter("n > 1").select("blob", F.lit(True).alias("_repeated"), "_first")
+    rows = rows.join(sized(materialize(repeated, "repeated"), BLOB_BYTES, broadcast_bytes), "blob", "left")
+    rows = rows.filter(F.col("_repeated").isNull() | F.col("_path").eqNullSafe(F.col("_first")))
     found = F.array_sort(F.concat(*[spans_of(F.col("text"), r, k) for k, r in enumerate(rules)]))
-    return blobs(fresh).select("blob", F.lit(version).alias("rule_version"), found.alias("findings"))
+    return rows.select("blob", F.lit(version).alias("rule_version"), found.alias("findings")).dropDuplicates(["blob"])
 
 
-def extend_ledger(history: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+def extend_ledger(history: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """The whole ledger after a scan, and its new rows alone, which the caller appends to the
     stored ledger. The new rows are a written table; nothing is scanned twice."""
-    delta = materialize(scan_unseen(history, ledger, text_col, rules), "ledger")
+    delta = materialize(scan_unseen(history, ledger, path_col, text_col, rules, broadcast_bytes), "ledger")
     return (delta if ledger is None else ledger.unionByName(delta)), delta
 
 
@@ -105,6 +110,9 @@ def findings_by_path(history: DataFrame, ledger: DataFrame, path_col: str = "doc
     found. A null text is an empty blob; null and repeated paths keep their rows; extra columns
     are ignored, whatever their names; an empty table gives no rows."""
     hits = ledger.filter((F.col("rule_version") == rule_version(rules)) & (F.size("findings") > 0)).select("blob", "findings")
+    spans = hits.agg(F.count("*").alias("n"), F.sum(F.size("findings")).alias("m")).first()
+    if spans["n"] * BLOB_BYTES + (spans["m"] or 0) * FINDING_BYTES <= BROADCAST_BYTES:
+        hits = F.broadcast(hits)
     paths = history.select(F.col(path_col).alias("path"), F.sha2(text_or_empty(text_col), 256).alias("blob"))
     return paths.join(hits, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
