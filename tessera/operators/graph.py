@@ -93,7 +93,7 @@ def pagerank(nodes: DataFrame, adj: DataFrame, seeds: DataFrame | None = None, d
         lost = scores.filter("loose").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]  # one number
         got = moves.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("p")).alias("g"))
         new = F.lit(1 - damping) * F.col("t") + F.lit(damping) * (F.coalesce("g", F.lit(0.0)) + F.lit(lost) * F.col("t"))
-        scores = materialized(base.join(got, "id", "left").select("id", "t", "loose", new.alias("score")), "scores")
+        scores = materialized(base.join(got, "id", "left").select("id", "t", "loose", new.alias("score")), "scores", scores)
     return scores.select("id", "score")
 
 

@@ -193,9 +193,11 @@ def applied_beliefs(nodes: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def named_beliefs(nodes: DataFrame, updates: DataFrame) -> DataFrame:
-    """Signals from updates by node name (node_name, verdict, weight, session_id)."""
+    """Signals from updates by node name (node_name, verdict, weight, session_id, and others that
+    are kept)."""
     u = updates.withColumn("name", normalized_name(F.col("node_name")))
-    return u.join(nodes.select("name", F.col("id").alias("node_id")), "name").select("node_id", F.col("verdict").alias("signal_type"), "weight", "session_id")
+    kept = [c for c in updates.columns if c not in ("node_name", "verdict", "weight", "session_id")]
+    return u.join(nodes.select("name", F.col("id").alias("node_id")), "name").select("node_id", F.col("verdict").alias("signal_type"), "weight", "session_id", *kept)
 
 
 def session_support(nodes: DataFrame, session_id: str, logged: float = 0.3, applied: float = 1.0) -> DataFrame:

@@ -64,10 +64,13 @@ class Engine:
         ids = nodes.select("name", "id")
         links = parsed.select("seq", F.explode("edges").alias("e")).select("seq", F.col("e.from").alias("_f"), F.col("e.to").alias("_t"), "e.name", "e.description", F.lit(session_id).alias("session_id"))
         links = links.join(ids.toDF("_f", "from_id"), "_f").join(ids.toDF("_t", "to_id"), "_t").select("from_id", "to_id", "name", "description", "session_id", "seq")
-        beliefs = parsed.select(F.explode("beliefs").alias("b")).select(F.col("b.node_name"), F.col("b.verdict"), F.col("b.weight"), F.lit(session_id).alias("session_id"))
+        beliefs = parsed.select("seq", F.posexplode("beliefs").alias("pos", "b")).select(F.col("b.node_name"), F.col("b.verdict"), F.col("b.weight"), F.lit(session_id).alias("session_id"), F.concat_ws(":", "seq", "pos").alias("part"))
         edges = mutate.upsert_edges(self.table("edges"), links, nodes, now)
-        nodes = mutate.applied_beliefs(nodes, mutate.named_beliefs(nodes, beliefs)).drop("before", "delta")
-        self.store.commit({"nodes": nodes, "edges": edges})
+        signals = mutate.named_beliefs(nodes, beliefs)
+        nodes = mutate.applied_beliefs(nodes, signals).drop("before", "delta")
+        key = mutate.stable_id("b", F.col("node_id"), F.lit(session_id), F.lit(str(now)), F.col("part"))
+        logged = signals.select(key.alias("id"), "node_id", "signal_type", "weight", "session_id", F.lit(now).cast("long").alias("created_at"))
+        self.store.commit({"nodes": nodes, "edges": edges, "belief_signals": mutate.appended(self.table("belief_signals"), logged)})
 
     def record_text(self, session_id: str, system: str, prompt: str) -> None:
         if self.complete is None:

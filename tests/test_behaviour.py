@@ -264,6 +264,18 @@ def test_appending_twice_changes_nothing(spark, tmp_path):
     assert store.read("scopes").count() == 1
 
 
+def test_commits_are_whole_and_one_writer_wins(spark, tmp_path):
+    first, second = (Store(spark, f"file://{tmp_path}/t", TABLES) for _ in range(2))
+    rows = spark.createDataFrame([("alpha", "s1", 1)], TABLES["scopes"])
+    first.commit({"scopes": rows, "edges": edges(spark, ("a", "b"))})
+    known = second._manifests()
+    first.commit({"scopes": rows.limit(0)})
+    with pytest.raises(RuntimeError):
+        second._publish(known, {"scopes": known[-1]["scopes"]})
+    assert second.read("scopes").count() == 0 and second.read("edges").count() == 1 and len(second.versions("scopes")) == 2
+    assert [f.name for f in (tmp_path / "t" / "_manifests").iterdir() if f.name.startswith("_")] == []
+
+
 def test_text_helpers(spark):
     def one(c):
         return spark.range(1).select(c).first()[0]
@@ -279,6 +291,9 @@ def test_engine_end_to_end(spark, tmp_path):
     engine.record(answers, "s1")
     assert got(engine.table("nodes"), "name") == [("deploy",), ("use-redis",)]
     assert engine.table("edges").count() == 1
+    update = '{"nodes":[],"edges":[],"beliefUpdates":[{"nodeName":"Use Redis","verdict":"supported","weight":1.5,"reason":"ok"}]}'
+    engine.record(spark.createDataFrame([(update, 1)], "raw string, seq int"), "s1")
+    assert got(engine.table("belief_signals"), "signal_type", "weight", "session_id") == [("supported", 1.5, "s1")]
     engine.set_hot("use redis")
     assert engine.hot().count() == 1
     assert got(engine.search("redis").nodes, "name") == [("deploy",), ("use-redis",)]
