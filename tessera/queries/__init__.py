@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from tessera.queries import access, graph, messages, models, mutate, ranking, render, streams, text, vectors  # noqa: E402, F401
+from tessera.queries import access, graph, messages, models, mutate, ranking, render, streams, text, tools, vectors  # noqa: E402, F401

@@ -31,9 +31,9 @@ def _(fx):
     return M.of_session(fx.messages, "s4", 3).select("id", "turn_index")
 
 
-@query("g04_unextracted", "select id from fx_messages where session_id = 's4' and not extracted order by turn_index, id limit 50")
+@query("g04_unextracted", "select id from fx_messages where session_id = 's6' and not extracted order by turn_index, id limit 50")
 def _(fx):
-    return M.unextracted(fx.messages, "s4").select("id")
+    return M.unextracted(fx.messages, "s6").select("id")
 
 
 _TURNS = """with r as (select *, row_number() over (partition by session_id order by turn_index desc, id) as back from fx_messages where extracted),

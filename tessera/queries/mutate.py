@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import access as A
 from tessera.operators import mutate as M
 from tessera.queries import query
 from tessera.queries.access import _FLAGS, _SESSIONS
@@ -25,12 +26,13 @@ def _(fx):
     return M.upsert_nodes(fx.nodes, _incoming(fx), fx.now).select("name", "type", "description", "status", "validated_count", "updated_at")
 
 
-@query("m01_upsert_sets", f"""with i as (select concat('doc-', doc_id % 60) as name, concat('s', doc_id % 3) as s, case when doc_id % 2 = 0 then 'hot' else 'x' end as f from documents where doc_id % 60 < 40),
+@query("m01_upsert_sets", f"""with i as (select case when doc_id % 60 < 40 then concat('doc-', doc_id % 60) else concat('new-', doc_id % 60) end as name, concat('s', doc_id % 3) as s, case when doc_id % 2 = 0 then 'hot' else 'x' end as f from documents),
   u as (select name, list_distinct(list(s)) as s, list_distinct(list(f)) as f from i group by name)
-  select n.name, list_sort(list_distinct(list_concat({_SESSIONS}, u.s))) as sessions, list_sort(list_distinct(list_concat({_FLAGS}, u.f))) as flags from fx_nodes n join u on n.name = u.name""")
+  select coalesce(n.name, u.name) as name, list_sort(list_distinct(list_concat(coalesce({_SESSIONS}, []), coalesce(u.s, [])))) as sessions, list_sort(list_distinct(list_concat({_FLAGS}, coalesce(u.f, [])))) as flags from fx_nodes n full join u on n.name = u.name""")
 def _(fx):
-    out = M.upsert_nodes(fx.nodes, _incoming(fx), fx.now).filter(F.regexp_extract("name", r"^doc-(\d+)$", 1).try_cast("int") < 40)
-    return out.select("name", F.array_sort("source_sessions").alias("sessions"), F.array_sort(F.from_json("flags", "array<string>")).alias("flags"))
+    """Of every node, touched or not; flags that are no list count as none."""
+    out = M.upsert_nodes(fx.nodes, _incoming(fx), fx.now)
+    return out.select("name", F.array_sort("source_sessions").alias("sessions"), F.array_sort(A.flag_list(F.col("flags"))).alias("flags"))
 
 
 @query("m02_deprecate", "select id, case when type = 'EVENT' then 'deprecated' else status end as status from fx_nodes")

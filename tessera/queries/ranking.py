@@ -50,11 +50,11 @@ def _(fx):
     return fx.nodes.select("id", F.round(S.min_max(F.col("pagerank")), 6).alias("score"))
 
 
-_CAND = "(select id, name, type, belief as semantic, success_count as ppr, pagerank, belief from fx_nodes where type = 'TASK' and status = 'active')"
+_CAND = "(select id, name, type, belief as semantic, success_count as ppr, pagerank, belief from fx_nodes where status = 'active')"
 
 
 def _candidates(fx):
-    return A.active(fx.nodes).filter("type = 'TASK'").select("id", "name", "type", F.col("belief").alias("semantic"), F.col("success_count").alias("ppr"), "pagerank", "belief")
+    return A.active(fx.nodes).select("id", "name", "type", F.col("belief").alias("semantic"), F.col("success_count").alias("ppr"), "pagerank", "belief")
 
 
 @query("r02_blend", f"select id, round(0.5 * {_norm('semantic')} + 0.4 * {_norm('ppr')} + 0.1 * {_norm('pagerank')}, 6) as combined from {_CAND}")
@@ -205,9 +205,9 @@ def _(fx):
     return R.display_scores(_candidates(fx)).select("id", F.round("display_ppr", 6).alias("display_ppr"), F.round("display_pagerank", 6).alias("display_pagerank"))
 
 
-@query("r17_token_estimate", "select cast(ceil(sum(length(content) + length(description)) / 3.0) as bigint) as tokens from fx_nodes where type = 'TASK'")
+@query("r17_token_estimate", "select cast(ceil(sum(length(content) + length(description)) / 3.0) as bigint) as tokens from fx_nodes")
 def _(fx):
-    return R.token_estimate(fx.nodes.filter("type = 'TASK'"))
+    return R.token_estimate(fx.nodes)
 
 
 @query("r18_type_tables", f"select distinct type, {_IMP} as importance, {_FLOOR} as floor, {_BETA} as beta from fx_nodes")
@@ -229,7 +229,20 @@ def _(fx):
     return R.picked(A.active(fx.nodes), "created_at", fx.now, "night").select("id")
 
 
-@query("z08_dream")
+_DREAMT = f"""live as materialized (select id from fx_nodes where status = 'active'),
+  recent as (select node_id as id, max(created_at) as seen_at from (select * from fx_recalled where created_at >= {NOW_MS} - 168 * 3600000 order by created_at desc, id limit 50) group by node_id),
+  one as materialized (select id from recent where id in (select id from live) {_PICK.format(seed='night-recalled', now=NOW_MS, at='seen_at')}),
+  fresh as (select id, created_at from fx_nodes where status = 'active' and created_at >= {NOW_MS} - 168 * 3600000 order by created_at desc, id limit 50),
+  two as materialized (select id from fresh {_PICK.format(seed='night-created', now=NOW_MS, at='created_at')}), drawn as materialized (select id from one union select id from two)"""
+
+
+@query("z08_dream", f"""with {_DREAMT}, {pagerank_sql(_LIVE, 'fx_edges', 'select id from drawn').split(', ', 1)[1]}, {_WALK.format(most=1500).replace("select unnest(['n00000000', 'n00000014'])", "select id from drawn")},
+  c as materialized (select n.*, coalesce(pr.score, 0) as ppr, 0.0::double as semantic from fx_nodes n join reached r on r.id = n.id left join pr on pr.id = n.id where n.status = 'active'),
+  b as (select *, 0.5 * {_norm('semantic')} + 0.4 * {_norm('ppr')} + 0.1 * {_norm('pagerank')} as combined from c),
+  best as (select id from (select id, row_number() over (order by round(combined * (0.3 + 0.7 * greatest({_FLOOR}, {_composite('0.5::double')})), 9) desc, id) as n from b) where n <= 5),
+  last as (select distinct source_sessions::json->>'$[#-1]' as s from fx_nodes where id in (select id from drawn)),
+  ids as (select id from best union select id from fx_nodes, last where list_contains(json_extract_string(source_sessions::json, '$[*]'), s) union select id from drawn where id not in (select id from c))
+  select id, name, type from fx_nodes where status = 'active' and id in (select id from ids)""")
 def _(fx):
     return C.dream(fx.nodes, fx.edges, fx.vectors, fx.recalled, fx.now, "night").nodes.select("id", "name", "type")
 

@@ -10,7 +10,7 @@ from tessera import queries as core
 from .oracle import connection, same
 
 SF = "/root/testdata/sf0.001"
-MAY_BE_EMPTY = {"g04_unextracted", "g10_retention_unprotected"}
+MAY_BE_EMPTY = {"g10_retention_unprotected"}
 
 
 @pytest.fixture(scope="module")
