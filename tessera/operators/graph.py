@@ -25,19 +25,27 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 1500) -> tuple[DataFrame, DataFrame]:
     """Active nodes (with depth) within depth steps of the seeds (id), and the edges among all that
     was reached. The cap counts every reached node in order of (depth, smallest edge id, id);
-    deprecated ones are passed through and counted, then dropped."""
+    deprecated ones are passed through and counted, then dropped.
+
+    Nodes nearer by come first, so each step keeps what the cap leaves room for, and what is reached
+    has at most ``most`` rows: it is written and broadcast, and a step scans the edges once each way.
+    """
     known = nodes.select("id")
-    reached = seeds.select("id").distinct().join(known, "id", "left_semi").select("id", F.lit(0).alias("depth"), F.lit("").alias("via"))
-    frontier = reached
+    first = seeds.select("id").distinct().join(known, "id", "left_semi").orderBy("id").limit(most)
+    room = most
+    reached = frontier = materialized(first.select("id", F.lit(0).alias("depth"), F.lit("").alias("via")), "walk")
+    both = edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("id"), F.col("id").alias("via")).unionAll(edges.select(F.col("to_id").alias("at"), F.col("from_id").alias("id"), F.col("id").alias("via")))
     for d in range(1, depth + 1):
-        out = edges.join(frontier.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("id"), F.col("id").alias("via"))
-        into = edges.join(frontier.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id"), F.col("id").alias("via"))
-        step = out.unionAll(into).groupBy("id").agg(F.min("via").alias("via")).join(reached.select("id"), "id", "left_anti").join(known, "id", "left_semi")
-        frontier = step.select("id", F.lit(d).alias("depth"), "via")
+        room -= frontier.count()
+        if room <= 0:
+            break
+        step = both.join(F.broadcast(frontier.select(F.col("id").alias("at"))), "at", "left_semi").groupBy("id").agg(F.min("via").alias("via"))
+        step = step.join(F.broadcast(reached.select("id")), "id", "left_anti").join(known, "id", "left_semi")
+        frontier = materialized(step.orderBy("via", "id").limit(room).select("id", F.lit(d).alias("depth"), "via"), "walk")
         reached = reached.unionAll(frontier)
-    capped = materialized(reached.orderBy("depth", "via", "id").limit(most), "walk")
-    among = edges.join(capped.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(capped.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(*edges.columns)
-    found = nodes.filter("status = 'active'").join(capped.select("id", "depth"), "id")
+    ids = F.broadcast(reached.select("id"))
+    among = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*edges.columns)
+    found = nodes.filter("status = 'active'").join(F.broadcast(reached.select("id", "depth")), "id")
     return found, among
 
 
@@ -78,7 +86,7 @@ def pagerank(nodes: DataFrame, adj: DataFrame, seeds: DataFrame | None = None, d
     else:
         marked = ids.join(seeds.select("id").distinct().withColumn("seed", F.lit(1.0)), "id", "left").na.fill(0.0, ["seed"])
     adj = materialized(adj, "adjacency")
-    if adj.count() + ids.count() <= kernel_rows:
+    if adj.select(F.lit(0)).unionAll(ids.select(F.lit(0))).count() <= kernel_rows:
         left, right = adj.withColumn("all", F.lit(1)).groupBy("all"), marked.withColumn("all", F.lit(1)).groupBy("all")
         return left.cogroup(right).applyInPandas(_kernel(damping, iterations, seeds is not None), "id string, score double")
     marked = materialized(marked, "teleport")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from tessera.plans import recall as R
 from tessera.sources.config import NODE_TYPES, Config
 from tessera.sources.schemas import TABLES
 from tessera.sources.snapshots import Store
+from tessera.streaming.sessions import Cache, Circuit, retried, with_deadline
 
 
 @dataclass
@@ -30,8 +32,12 @@ class Engine:
     embed: Callable[[list[str]], list[list[float]]] | None = None
     complete: Callable[[str, str], str] | None = None
 
+    pause: Callable[[float], None] = time.sleep
+
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.root, TABLES)
+        self.cache = Cache(self.config.recall_cache_ttl_ms)
+        self.circuit = Circuit(self.config.breaker_max_timeouts, self.config.breaker_cooldown_ms)
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -43,7 +49,7 @@ class Engine:
         return found
 
     def _vector(self, text: str) -> list[float] | None:
-        return self.embed([text])[0] if self.embed else None
+        return retried(lambda: self.embed([text])[0], self.pause) if self.embed else None
 
     def search(self, text: str) -> R.Result:
         return R.recall(self.table("nodes"), self.table("edges"), self.table("vectors"), self._vector(text), text, self.clock(), self.config)
@@ -52,8 +58,24 @@ class Engine:
         found = self.search(text)
         return rendering.search_lines(ranking.display_scores(found.nodes.filter("tier <> 'filtered'")))
 
-    def recall(self, history: str, prompt: str) -> R.Result:
-        return R.parallel_recall(self.search(history), self.search(prompt))
+    def recall(self, history: str, prompt: str, session_id: str = "") -> R.Result | None:
+        """What two searches find, before a prompt. The same question on the same tables is answered
+        from the cache for a while. None at the deadline, and while the session rests after too many
+        timeouts: a prompt goes on without."""
+        now = self.clock()
+        if self.circuit.rests(session_id, now):
+            return None
+        key = "\x1f".join([session_id, history, prompt, *(str(self.store.version(t)) for t in ("nodes", "edges", "vectors"))])
+        found = self.cache.get(key, now)
+        if found is None:
+            try:
+                found = with_deadline(self.spark, self.config.recall_timeout_ms / 1000, lambda: R.parallel_recall(self.search(history), self.search(prompt)))
+            except TimeoutError:
+                self.circuit.timed_out(session_id, self.clock())
+                return None
+            self.cache.put(key, found, self.clock())
+        self.circuit.answered(session_id)
+        return found
 
     def record(self, answers: DataFrame, session_id: str, flags: list[str] | None = None) -> None:
         """answers: raw, seq - what a model extracted. Nodes, then edges among named nodes."""
@@ -75,7 +97,7 @@ class Engine:
     def record_text(self, session_id: str, system: str, prompt: str) -> None:
         if self.complete is None:
             raise RuntimeError("no model is set")
-        self.record(self.spark.createDataFrame([(self.complete(system, prompt), 0)], "raw string, seq int"), session_id)
+        self.record(self.spark.createDataFrame([(retried(lambda: self.complete(system, prompt), self.pause), 0)], "raw string, seq int"), session_id)
 
     def stats(self) -> DataFrame:
         return access.stats(self.table("nodes"), self.table("edges"))
@@ -163,7 +185,7 @@ class Engine:
         semantic = access.active(nodes).join(wanted, "name", "left_semi").filter("type not in ('TOPIC', 'SESSION')")
         topics = access.topics(nodes).orderBy(F.desc("updated_at"), "id").limit(50)
         prompt = rendering.induction_input(topics, semantic, access.induced_edges(edges, semantic)).first()["text"]
-        answer = self.spark.createDataFrame([(self.complete(system, prompt), 0)], "raw string, seq int")
+        answer = self.spark.createDataFrame([(retried(lambda: self.complete(system, prompt), self.pause), 0)], "raw string, seq int")
         self.apply_topics(answer, "induction")
 
     def apply_topics(self, answers: DataFrame, session_id: str) -> None:

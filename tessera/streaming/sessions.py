@@ -160,6 +160,28 @@ class Cache:
                 del self.entries[next(iter(self.entries))]
 
 
+class Circuit:
+    """Which keys rest after too many timeouts in a row, and until when. Driver-side."""
+
+    def __init__(self, max_timeouts: int, cooldown_ms: int, most: int = 1000):
+        self.max_timeouts, self.cooldown_ms, self.most, self.keys = max_timeouts, cooldown_ms, most, {}
+
+    def rests(self, key: str, now_ms: int) -> bool:
+        n, until = self.keys.get(key, (0, 0))
+        if until and until <= now_ms:
+            del self.keys[key]
+        return until > now_ms
+
+    def timed_out(self, key: str, now_ms: int) -> None:
+        n = self.keys.pop(key, (0, 0))[0] + 1
+        self.keys[key] = (n, now_ms + self.cooldown_ms if n >= self.max_timeouts else 0)
+        while len(self.keys) > self.most:
+            del self.keys[next(iter(self.keys))]
+
+    def answered(self, key: str) -> None:
+        self.keys.pop(key, None)
+
+
 def with_deadline(spark: SparkSession, seconds: float, work: Callable[[], Any]) -> Any:
     """work() within a job group that is cancelled at the deadline; TimeoutError then."""
     import threading

@@ -315,3 +315,21 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.stats().filter("what = 'nodes'").first()["n"] == 2
     with pytest.raises(KeyError):
         engine.get_flags("nobody") and engine.set_hot("nobody")
+
+
+def test_recall_is_cached_bounded_in_time_and_rests(spark, tmp_path):
+    now = [1_000]
+    engine = Engine(spark, f"file://{tmp_path}/store", lambda: now[0])
+    answers = spark.createDataFrame([('{"nodes":[{"type":"SKILL","name":"Use Redis","description":"cache","content":"redis-server"}],"edges":[]}', 0)], "raw string, seq int")
+    engine.record(answers, "s1")
+    first = engine.recall("redis", "redis cache", "s1")
+    assert got(first.nodes, "name") == [("use-redis",)] and engine.recall("redis", "redis cache", "s1") is first
+    engine.set_hot("use redis")  # other tables, another answer
+    assert engine.recall("redis", "redis cache", "s1") is not first
+    calls = []
+    engine.search = lambda text: calls.append(text) or spark.range(10**12).selectExpr("sum(pmod(xxhash64(id), 7))").collect()
+    engine.config = Config(recall_timeout_ms=300)
+    assert [engine.recall("a", str(k), "s1") for k in range(5)] == [None] * 5 and len(calls) == 3
+    assert engine.recall("a", "other session", "s2") is None and len(calls) == 4
+    now[0] += 60_000
+    assert engine.recall("a", "again", "s1") is None and len(calls) == 5
