@@ -1,9 +1,9 @@
-"""What the operators of this subpackage share: scratch tables, sized joins, text columns."""
+"""What the operators of this subpackage share: sized joins, text columns, Arrow batches; and
+materialize(), which writes a table into the shared folder and reads it back: lineage ends there, and
+a lost executor costs no recomputation."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.sources.snapshots import materialized as materialize
+
+__all__ = ["append_columns", "ascii_lower", "bound_batches", "encoded", "fold_split", "materialize", "read", "sized", "text_or_empty"]
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,27 +28,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a
-    lost executor costs no recomputation. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized(keys: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """keys with a broadcast hint if, as counted, they fit the limit; else as they are, and the
     join shuffles. keys should be materialized: they are counted here."""

@@ -24,7 +24,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
-        edges = materialize(small, "star")
+        edges = materialize(small, "star", edges)
         last, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
