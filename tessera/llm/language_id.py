@@ -27,8 +27,8 @@ from .common import append_columns
 
 #: Longest context in bytes.
 ORDER = 3
-#: Bound on the training sample: rows per language, taken by hash of their id.
-ROWS_PER_LANGUAGE = 300
+#: Bounds on the training sample: rows per language, taken by hash of id and text, and their bytes.
+ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 300, 8 << 20
 #: Bound on the languages of the sample: those with most rows.
 LANGUAGES = 1000
 #: A text is rejected if knowing no language is 2^16 times as likely.
@@ -142,8 +142,10 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     some = picked[0]
     for p in picked[1:]:
         some = some | p
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id", F.xxhash64("_text")))
-    return rows.filter(some).withColumn("_rank", rank).filter(F.col("_rank") <= rows_per_language).select("_lang", "_text").orderBy("_lang", "_rank").collect()
+    order = Window.partitionBy("_lang").orderBy("_h", "_id", F.xxhash64("_text"))
+    ranked = rows.filter(some).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= rows_per_language)
+    before = F.coalesce(F.sum(F.octet_length("_text")).over(Window.partitionBy("_lang").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranked.withColumn("_bytes", before).filter(F.col("_bytes") < BYTES_PER_LANGUAGE).select("_lang", "_text").orderBy("_lang", "_rank").collect()
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:

@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, encoded
+from .common import append_columns, encoded, materialize
 from .hashing import LETTERS, chunks, mix, word_hashes
 
 BITS = 20
-#: Bound on the training sample: labelled rows, taken by hash of their id.
-SAMPLE_ROWS = 8_000
+#: Bounds on the training sample: labelled rows, taken by hash of their id, and bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 128 << 20
 EPOCHS = 8
 #: Bytes of word beginnings that are features of their own.
 STEMS = (4, 6)
@@ -96,11 +96,19 @@ def fit(texts: list[bytes], labels: np.ndarray, alpha: float = 0.3, beta: float
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most sample_rows labelled rows, chosen by hash of the id; their ids (a
-    bounded list) are broadcast to the texts. Without labelled rows every score is one half."""
+    """Learns from at most sample_rows labelled rows, chosen by hash of the id, until their texts
+    have SAMPLE_BYTES; the ids (a bounded list) are broadcast to the texts. Of documents that share
+    an id, one is learned from, that of the least text hash. Without labelled rows every score is
+    one half."""
     some = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
-    some = some.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").select("_id", "_text", "_y").collect()
+    some = materialize(some.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows), "labelled")
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("_id"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("t")).join(F.broadcast(some.select("_id").distinct()), "_id", "left_semi")
+    rows = texts.groupBy("_id").agg(F.min("t").alias("t")).join(F.broadcast(some), "_id")
+    # At most sample_rows rows are left, so one window serves all.
+    before = Window.orderBy(F.xxhash64("_id"), "_id", "_y").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_bytes", F.coalesce(F.sum(F.octet_length("t.text")).over(before), F.lit(0)))
+    got = rows.filter(F.col("_bytes") < SAMPLE_BYTES).select("_id", F.col("t.text").alias("_text"), "_y").collect()
     got.sort(key=lambda r: (r["_id"], r["_y"], r["_text"] or ""))
     return fit(encoded([r["_text"] for r in got]), np.array([r["_y"] for r in got]))
 

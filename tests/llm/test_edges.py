@@ -406,3 +406,52 @@ def test_license_cosines_equal_plain_vectors(spark):
             licensed += 1
             assert r["score"] == pytest.approx(best[0], abs=0.02) and r["license"] == best[1]  # buckets may be shared
     assert licensed > 3 and got[str(len(texts) - 1)]["start"] == 3 and got[str(len(texts) - 4)]["license"] == "MIT" and got[str(len(texts) - 3)]["license"] == "BSD-3-Clause"
+
+
+def test_ftrl_equals_a_plain_loop():
+    """The weights of every feature against dictionaries, a text at a time."""
+    import math
+
+    import numpy as np
+
+    from tessera.llm.toxicity import BITS, LEAST_ROWS, Model, features, fit
+
+    texts = [f"word{k % 7} you are {'awful' if k % 3 == 0 else 'lovely'} and kind{k % 5}".encode() for k in range(60)]
+    y = np.array([float(k % 3 == 0) for k in range(60)])
+    model = fit(texts, y, l1=0.5, epochs=2)
+    doc, place = features(texts)
+    rows = [sorted({int(p) for d, p in zip(doc, place, strict=True) if d == k}) for k in range(60)]
+    rows = [[p for p in r if sum(p in q for q in rows) >= LEAST_ROWS] for r in rows]
+    n, z, order = {}, {}, np.random.default_rng(5)
+
+    def weight(i):
+        l1 = 0 if i == 1 << BITS else 0.5
+        a, b = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((1 + math.sqrt(b)) / 0.3)
+
+    for _ in range(2):
+        for k in order.permutation(60):
+            own = [*rows[k], 1 << BITS]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[k]
+            for i in own:
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / 0.3 * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in n if i != 1 << BITS and weight(i)}
+    assert dict(zip(model.places.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want) and model.bias == pytest.approx(weight(1 << BITS))
+    tied = Model(model.places, model.weights, 0.0).scores([b"", b"nothing known"])
+    assert tied.tolist() == [0.5, 0.5]
+
+
+def test_toxicity_learns_one_text_of_each_id(spark):
+    docs = spark.createDataFrame([(1, "awful you"), (1, "lovely you"), (2, "kind"), (2, "kind"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).select("score").distinct().collect() == [(0.5,)]
+
+
+def test_long_tokens_and_no_spaces(spark):
+    rows = [(1, "a" * 300_000), (2, "\u65e5" * 50_000), (3, "x@" * 50_000), (4, "1" * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    for name in ("near", "pii", "pack", "language", "toxicity", "decontaminate", "secrets", "licenses"):
+        assert sorted(r["doc_id"] for r in OPERATORS[name](df).collect()) == [1, 2, 3, 4], name
