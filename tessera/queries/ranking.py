@@ -14,18 +14,17 @@ from tessera.plans import recall as C
 from tessera.queries import query
 from tessera.queries.graph import _LIVE, _WALK, pagerank_sql, seeds
 from tessera.queries.vectors import _COS, query_vector
-from tessera.sources.config import BETA, FLOOR, IMPORTANCE
+from tessera.sources.config import BETA
 from tessera.sources.fixtures import NOW_MS
 
 TEXT = "the onion of thing and ereat"
 _WORDS = "['onion', 'thing', 'ereat']"
 
 
-def _case(values: dict[str, float], other: float) -> str:
-    return "case type " + " ".join(f"when '{k}' then {v}::double" for k, v in values.items()) + f" else {other}::double end"
-
-
-_IMP, _FLOOR, _BETA = _case(IMPORTANCE, 0.5), _case(FLOOR, 0.2), _case(BETA, 1.0)
+#: Written out here, so that SQL doesn't repeat a slip of the settings.
+_IMP = "case type when 'SKILL' then 0.9::double when 'TOPIC' then 0.85::double when 'KNOWLEDGE' then 0.7::double when 'TASK' then 0.6::double when 'STATUS' then 0.3::double else 0.5::double end"
+_FLOOR = "case type when 'STATUS' then 0.1::double when 'TASK' then 0.25::double when 'KNOWLEDGE' then 0.45::double when 'SKILL' then 0.6::double when 'TOPIC' then 0.55::double when 'SESSION' then 0.1::double else 0.2::double end"
+_BETA = "case type when 'STATUS' then 1.3::double when 'EVENT' then 0.9::double when 'KNOWLEDGE' then 0.85::double when 'SKILL' then 0.8::double when 'TOPIC' then 0.8::double else 1.0::double end"
 _DAYS = f"greatest(0.0::double, ({NOW_MS} - case when last_accessed_at > 0 then last_accessed_at else created_at end) / 86400000.0::double)"
 
 

@@ -18,6 +18,7 @@ OTHER_IMPORTANCE, OTHER_FLOOR, OTHER_BETA = 0.5, 0.2, 1.0
 DAY_MS = 86_400_000
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class Decay:
     half_life_days: float = 30.0
@@ -29,6 +30,7 @@ class Decay:
     boost_min: float = 0.3
 
 
+# The defaults, and below them the ranges.
 @dataclass(frozen=True)
 class Config:
     """Settings with their defaults; ``of`` reads raw values and keeps them in range."""
