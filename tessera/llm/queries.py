@@ -109,6 +109,16 @@ _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+#: (kind, pattern, group, least), written out here, so that SQL doesn't repeat a slip of the rules.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 40),
+)
+
+
 def _duck_spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     pattern = pattern.replace("'", "''")
     return f"""
@@ -135,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {
       select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
       from dw d left join hit h on d.doc_id = h.doc_id left join named m on d.doc_id = m.doc_id""",
     "op10_secret_scan": "with docs as (select doc_id, coalesce(text, '') as t from documents), spans as ("
-    + " union all ".join(_duck_spans(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(secret_scan.RULES))
+    + " union all ".join(_duck_spans(kind, k, *rest) for k, (kind, *rest) in enumerate(_SECRETS))
     + """), j as (select doc_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c, count(*) filter (kind = 'hex') as h,
       string_agg(concat(kind, ':', s::bigint, ':', (s + len)::bigint), ',' order by s, ord) filter (base) as b, string_agg(concat(kind, ':', s::bigint, ':', (s + len)::bigint), ',' order by s, ord) as x from spans group by doc_id)
     select d.doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(c, 0)::bigint as n_access, coalesce(h, 0)::bigint as n_hex, sha256(coalesce(b, '')) as base_sha256, coalesce(x, '') as spans
