@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.snapshots import materialized
+from tessera.sources.snapshots import is_materialized, materialized
 
 #: Graphs of at most so many adjacency rows are ranked in one task; larger ones by joins.
 KERNEL_ROWS = 2_000_000
@@ -85,7 +85,7 @@ def pagerank(nodes: DataFrame, adj: DataFrame, seeds: DataFrame | None = None, d
         marked = ids.withColumn("seed", F.lit(1.0))
     else:
         marked = ids.join(seeds.select("id").distinct().withColumn("seed", F.lit(1.0)), "id", "left").na.fill(0.0, ["seed"])
-    adj = materialized(adj, "adjacency")
+    adj = adj if is_materialized(adj) else materialized(adj, "adjacency")
     if adj.select(F.lit(0)).unionAll(ids.select(F.lit(0))).count() <= kernel_rows:
         left, right = adj.withColumn("all", F.lit(1)).groupBy("all"), marked.withColumn("all", F.lit(1)).groupBy("all")
         return left.cogroup(right).applyInPandas(_kernel(damping, iterations, seeds is not None), "id string, score double")

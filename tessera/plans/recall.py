@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
@@ -23,6 +26,27 @@ class Result:
     seeds: DataFrame
 
 
+def together(spark: SparkSession, *works: Callable[[], Any]) -> list:
+    """What each work returns; their jobs run at the same time, in the caller's job group."""
+    out: list = [None] * len(works)
+
+    def run(k: int) -> None:
+        try:
+            out[k] = (works[k](), None)
+        except Exception as error:
+            out[k] = (None, error)
+
+    threads = [InheritableThread(target=run, args=(k,), session=spark) for k in range(len(works))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for _, error in out:
+        if error is not None:
+            raise error
+    return [found for found, _ in out]
+
+
 def seeds_of(nodes: DataFrame, vecs: DataFrame, query: list[float] | None, text: str, config: Config) -> tuple[DataFrame, DataFrame]:
     """Seeds (id), and the semantic scores (id, vector) of seeds and of anchors for the walk. Vector
     seeds come first; with fewer than two, text matches join them."""
@@ -55,13 +79,19 @@ def ranked(nodes: DataFrame, found: DataFrame, semantic: DataFrame, ppr: DataFra
 
 
 def recall(nodes: DataFrame, edges: DataFrame, vecs: DataFrame, query: list[float] | None, text: str, now_ms: int, config: Config = Config()) -> Result:
-    """Seeds, anchors, walk, personalized PageRank over the whole active graph, blend, tiers, decay."""
-    seeds, scores = seeds_of(nodes, vecs, query, text, config)
-    starts = seeds.unionByName(scores.select("id")).distinct()
-    found, among = graph.walk(nodes, edges, starts, config.recall_max_depth, config.walk_max_nodes)
-    found = materialized(found, "candidates")
+    """Seeds, anchors, walk, personalized PageRank over the whole active graph, blend, tiers, decay.
+    The graph's adjacency needs no seeds and is made meanwhile."""
     live = access.active(nodes)
-    ppr = graph.pagerank(live, graph.adjacency(live, edges), seeds, config.damping, config.iterations)
+
+    def around() -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        seeds, scores = seeds_of(nodes, vecs, query, text, config)
+        starts = seeds.unionByName(scores.select("id")).distinct()
+        found, among = graph.walk(nodes, edges, starts, config.recall_max_depth, config.walk_max_nodes)
+        return seeds, scores, materialized(found, "candidates"), among
+
+    spark = nodes.sparkSession
+    adjacency, (seeds, scores, found, among) = together(spark, lambda: materialized(graph.adjacency(live, edges), "adjacency"), around)
+    ppr = graph.pagerank(live, adjacency, seeds, config.damping, config.iterations)
     hit = keyword_hit(keywords(F.lit(text)), node_text(200))
     semantic = found.join(scores.select("id", "vector"), "id").select("id", S.hybrid(F.col("vector"), hit).alias("semantic"))
     rows = materialized(ranked(nodes, found, semantic, ppr, now_ms, config), "recalled")

@@ -40,11 +40,15 @@ def materialized(df: DataFrame, name: str, instead_of: DataFrame | None = None)
     _path(spark, path, lambda fs, p: fs.deleteOnExit(p))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    if instead_of is not None and getattr(instead_of, "_scratch", None):
+    if instead_of is not None and is_materialized(instead_of):
         _path(spark, instead_of._scratch, lambda fs, p: fs.delete(p, True))
     return out
 
 
+def is_materialized(df: DataFrame) -> bool:
+    return getattr(df, "_scratch", None) is not None
+
+
 def _path(spark: SparkSession, path: str, use):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return use(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)

@@ -319,7 +319,7 @@ def test_engine_end_to_end(spark, tmp_path):
 
 def test_recall_is_cached_bounded_in_time_and_rests(spark, tmp_path):
     now = [1_000]
-    engine = Engine(spark, f"file://{tmp_path}/store", lambda: now[0])
+    engine = Engine(spark, f"file://{tmp_path}/store", lambda: now[0], Config(recall_timeout_ms=600_000))
     answers = spark.createDataFrame([('{"nodes":[{"type":"SKILL","name":"Use Redis","description":"cache","content":"redis-server"}],"edges":[]}', 0)], "raw string, seq int")
     engine.record(answers, "s1")
     first = engine.recall("redis", "redis cache", "s1")
