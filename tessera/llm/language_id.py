@@ -7,7 +7,8 @@ distinct); an unseen byte costs the escape distinct / (total + distinct) and goe
 shorter context, down to 8 bits for any byte. Symbols that a longer context ruled out are not
 excluded from shorter ones. The language with the shortest code wins. If asked, a text is rejected
 whose code is longer, by more than REJECT_BITS, than one that knows no language: byte frequencies of
-all languages together, or 8 bits a byte.
+all languages together, or 8 bits a byte. For this the language may change with every SEGMENT bytes,
+each change at its price, so that texts in several learned languages stay.
 
 A byte's cost depends on at most order + 1 bytes. So a batch of texts is turned into n-gram codes,
 costs are worked out once per distinct n-gram, and gathered: whole texts, no Python loop per byte.
@@ -33,6 +34,7 @@ ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 300, 8 << 20
 LANGUAGES = 1000
 #: A text is rejected if knowing no language is 2^16 times as likely.
 REJECT_BITS = 16
+SEGMENT = 32
 #: Bytes that are scored at once.
 WINDOW = 1 << 20
 UNDETERMINED = "und"
@@ -93,14 +95,17 @@ class Model:
     order: int
     background: Tree | None = None  # byte frequencies of all languages together
 
-    def code_lengths(self, texts: list[bytes], trees: list[Tree] | None = None) -> np.ndarray:
-        """Bits by language (or given tree) and text."""
+    def code_lengths(self, texts: list[bytes], trees: list[Tree] | None = None, segment: int | None = None) -> np.ndarray:
+        """Bits by language (or given tree) and text; with segment, by piece of so many bytes of each
+        text, text after text (the first piece begins ``order`` bytes before its text)."""
         trees = self.trees if trees is None else trees
         order, pad = self.order, bytes(self.order)
         data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
         starts = np.cumsum([0, *(len(t) + order for t in texts)]).astype(np.int64)[:-1]
         padding = (starts[:, None] + np.arange(order)).ravel()
-        out = np.zeros((len(trees), len(texts)))
+        if segment:
+            starts = np.concatenate([np.arange(s, s + order + len(t), segment) for s, t in zip(starts, texts, strict=True)])
+        out = np.zeros((len(trees), len(starts)))
         for begin in range(order, len(data), WINDOW):
             end = min(begin + WINDOW, len(data))
             codes, distinct = pd.factorize(ngrams(data[begin - order : end].astype(np.uint64), order))
@@ -117,12 +122,18 @@ class Model:
         """The language with the shortest code (of equals, the first by name), and its posterior
         probability if all languages are as likely beforehand. With reject, und and 0 for texts
         that no language explains."""
-        bits = self.code_lengths(texts, [*self.trees, self.background] if reject else None)
-        plain, bits = bits[-1], bits[: len(self.trees)]
+        if reject:
+            pieces = [-(-(self.order + len(t)) // SEGMENT) for t in texts]
+            first = np.cumsum([0, *pieces])[:-1]
+            parts = self.code_lengths(texts, [*self.trees, self.background], SEGMENT)
+            bits, plain = np.add.reduceat(parts[:-1], first, 1), np.add.reduceat(parts[-1], first)
+            mixed = np.add.reduceat(parts[:-1].min(0) + np.log2(len(self.trees)), first)
+        else:
+            bits = self.code_lengths(texts)
         best, least = bits.argmin(0), bits.min(0)
         names, p = [self.languages[k] for k in best], 1 / np.exp2(np.maximum(least - bits, -1000)).sum(0)
         if reject:
-            good = least <= np.minimum(plain, [8 * len(t) for t in texts]) + REJECT_BITS
+            good = np.minimum(least, mixed) <= np.minimum(plain, [8 * len(t) for t in texts]) + REJECT_BITS
             names, p = [n if g else UNDETERMINED for n, g in zip(names, good, strict=True)], np.where(good, p, 0)
         return names, p
 
