@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter("_size > 1")
         .select("_h", F.sha2("_norm", 256).alias("_sha"), "_size", "_best")
     )
-    found = hashed.join(classes, ["_h", "_sha"], "left")
+    found = hashed.join(sized(materialize(classes, "classes"), 192, broadcast_bytes), ["_h", "_sha"], "left")
     alone = F.col("_size").isNull()
     return found.select(
         F.col("_id").alias(id_col),
