@@ -20,12 +20,12 @@ With 32 bands of 5 registers a pair of similarity 0.8 meets in no bucket with pr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_columns, encoded, materialize, sized
@@ -40,6 +40,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 MARGIN = 6
 #: Bounds on a block of an open bucket: members and bytes of full sets.
 BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
+#: Bound on the members of the largest component in a block, if a bucket has several blocks.
+MAJOR_ROWS = 2048
 
 _draw = np.random.default_rng(11)
 _FLIP = _draw.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + _draw.integers(0, 2, REGISTERS, dtype=np.uint64)
@@ -256,10 +258,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = members.filter("c > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     placed = materialize(placed, "placed")
-    weight = placed.join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep")
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    open_ = weight.groupBy("key", "c", "pivot").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum(F.col("n") * 8).alias("bytes")).filter("x <> y").select("key", blocks.alias("blocks"))
-    crowd = materialize(placed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "open")
+    weight = placed.join(reps.groupBy("rep").agg((F.max("n") * 8).alias("bytes")), "rep")
+    parts = weight.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    major = F.max(F.struct("rows", "label", "bytes"))
+    open_ = parts.groupBy("key").agg(major.alias("m"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).filter("parts > 1")
+
+    def blocks(rows: Column, most: int, size: Column) -> Column:
+        return F.greatest(F.ceil(rows / most), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    rest, largest = blocks(F.col("rows") - F.col("m.rows"), BLOCK_ROWS, F.col("bytes") - F.col("m.bytes")), blocks(F.col("m.rows"), MAJOR_ROWS, F.col("m.bytes"))
+    one = (F.col("rows") <= BLOCK_ROWS) & (F.col("bytes") <= BLOCK_BYTES)  # one block holds all
+    open_ = open_.select("key", F.when(~one, F.col("m.label")).alias("major"), F.when(one, 1).otherwise(rest).alias("rest"), F.when(one, 0).otherwise(largest).alias("largest"))
+    crowd = placed.join(open_, "key").withColumn("is_major", F.coalesce(F.col("label") == F.col("major"), F.lit(False)))
+    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_major"), F.col("largest")).otherwise(F.col("rest"))).cast("int"))
+    crowd = materialize(crowd.drop("major"), "open")
     more = materialize(cross_links(docs, crowd, reps, size, percent), "more")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
@@ -271,21 +283,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def cross_links(docs: DataFrame, crowd: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Joining links inside open buckets: a bucket's blocks meet two by two, each pair of blocks in
-    a task of its own, so that no bucket is gathered whole."""
+    """Joining links inside open buckets. The blocks of all but the largest component meet two by
+    two, and each meets the blocks of the largest one; each pair of blocks has a task of its own, so
+    that no bucket is gathered whole."""
     if crowd.isEmpty():
         return crowd.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     sets = full_sets(docs, crowd.select(F.col("rep").alias("id")), size).withColumnRenamed("id", "rep")
     drawn = reps.select("rep", "sketch")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = crowd.select("key", "rep", "label", "pivot", F.col("block").alias("side"), other.alias("other"))
-    met = met.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
-    met = met.join(drawn, "rep").join(sets, "rep")
+    own = F.col("block")
+
+    def meets(count: str, kind: int, i: Callable[[Column], Column], j: Callable[[Column], Column], side: Column) -> Column:
+        one = lambda o: F.struct(F.lit(kind).alias("kind"), i(o).alias("i"), j(o).alias("j"), side.alias("side"))
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(count) - 1, F.lit(0))), one)).otherwise(F.array())
+
+    among = meets("rest", 0, lambda o: F.least(own, o), lambda o: F.greatest(own, o), own)
+    across = meets("largest", 1, lambda o: own, lambda o: o, F.lit(0))
+    met = F.when(F.col("is_major"), meets("rest", 1, lambda o: o, lambda o: own, F.lit(1))).otherwise(F.concat(among, across))
+    met = crowd.select("key", "rep", "label", "pivot", F.inline(met)).join(drawn, "rep").join(sets, "rep")
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        kind, i, j = (int(block[c].iloc[0]) for c in ("kind", "i", "j"))
+        if (kind or i != j) and block["side"].nunique() < 2:  # the other block is empty
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         with np.errstate(over="ignore"):
             first = (_stack(block["sketch"].iloc[:1]) * _BAND).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
         block["band"] = int(np.flatnonzero(mix(first).astype(np.int64) == block["key"].iloc[0])[0])
         return joins_in_block(block, percent)
 
-    return met.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return met.groupBy("key", "kind", "i", "j").applyInPandas(run, "a long, b long").distinct()

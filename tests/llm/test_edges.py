@@ -75,8 +75,13 @@ def test_short_texts_are_one_shingle(spark):
     assert {k: r["component_id"] for k, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[1]["n_shingles"] == 1
 
 
-def test_chain_of_near_copies_in_one_bucket(spark):
-    """Stragglers that aren't similar to their bucket's smallest member still find each other."""
+@pytest.mark.parametrize("most", [None, 5])
+def test_chain_of_near_copies_in_one_bucket(spark, monkeypatch, most):
+    """Stragglers that aren't similar to their bucket's smallest member still find each other, in one
+    block and in many."""
+    if most:
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", most)
+        monkeypatch.setattr(near_dedup, "MAJOR_ROWS", most + 2)
     import random
 
     r = random.Random(2)
@@ -117,7 +122,12 @@ def test_language_without_letters(docs):
 
 
 def plain_bits(texts, text, order):
-    """The code length of text after training on texts, byte by byte."""
+    """The code length of text after training on texts."""
+    return sum(plain_costs(texts, text, order))
+
+
+def plain_costs(texts, text, order):
+    """The same byte by byte."""
     import math
 
     counts: dict = {}
@@ -127,8 +137,9 @@ def plain_bits(texts, text, order):
             for k in range(order + 1):
                 seen = counts.setdefault(padded[i - k : i], {})
                 seen[padded[i]] = seen.get(padded[i], 0) + 1
-    padded, bits = bytes(order) + text, 0.0
+    padded, out = bytes(order) + text, []
     for i in range(order, len(padded)):
+        bits = 0.0
         for k in range(order, -1, -1):
             seen = counts.get(padded[i - k : i])
             if seen is None:
@@ -140,7 +151,8 @@ def plain_bits(texts, text, order):
             bits += math.log2(whole / len(seen))
         else:
             bits += 8
-    return bits
+        out.append(bits)
+    return out
 
 
 def test_code_lengths_equal_a_plain_loop():
@@ -164,7 +176,7 @@ def test_pipeline_language_stage_rejects_by_the_model(spark):
     en = ["the house is on the hill and the river runs by it", "she said that there was nothing left to do in the town"]
     de = ["das haus steht auf dem hügel und der fluss fließt vorbei", "sie sagte dass es in der stadt nichts mehr zu tun gab"]
     learned = [(k, t, lang) for k, (t, lang) in enumerate([*((t, "en") for t in en), *((t, "de") for t in de)])]
-    new = [(None, "there is a hill and a town on the river"), (None, "0x9f QZXJ kqv-77 WVXZ jjqzk QQXV zkq"), (0, "сегодня хорошая погода и мы идём гулять"), (0, "die stadt auf dem hügel"), (7, None), (7, "12 + 34"), (8, "")]
+    new = [(None, "there is a hill and a town on the river"), (None, "0x9f QZXJ kqv-77 WVXZ jjqzk QQXV zkq"), (0, "сегодня хорошая погода и мы идём гулять"), (0, "die stadt auf dem hügel"), (5, "das haus steht auf dem hügel und she said that there was nothing left"), (7, None), (7, "12 + 34"), (8, "")]
     rows = [*((*r, "clash") for r in learned), *((k, t, None, "clash") for k, t in new)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, text_key string")
     got = sorted(map(str, ((r["doc_id"], r["text"], r["lang"], r["text_key"]) for r in corpus_pipeline.language_id(spark, df, "").collect())))
@@ -175,10 +187,13 @@ def test_pipeline_language_stage_rejects_by_the_model(spark):
             return False
         b = text.encode()
         plain = min(8 * len(b), plain_bits(trained["de"] + trained["en"], b, 0))
-        return min(plain_bits(t, b, 3) for t in trained.values()) <= plain + language_id.REJECT_BITS
+        costs = [[0.0] * 3 + plain_costs(t, b, 3) for t in trained.values()]
+        at = range(0, 3 + len(b), language_id.SEGMENT)
+        mixed = sum(min(sum(c[i : i + language_id.SEGMENT]) for c in costs) + 1 for i in at)  # two languages: 1 bit
+        return min(mixed, *map(sum, costs)) <= plain + language_id.REJECT_BITS
 
     assert got == sorted(map(str, (r for r in rows if kept(r[1]))))
-    assert [kept(t) for _, t in new] == [True, False, False, True, False, False, False]
+    assert [kept(t) for _, t in new] == [True, False, False, True, True, False, False, False]
     assert corpus_pipeline.language_id(spark, df.limit(0), "").collect() == []
 
 
