@@ -83,16 +83,18 @@ def scan_unseen(history: DataFrame, ledger: DataFrame | None, path_col: str = "d
     """
     version = rule_version(rules)
     text = text_or_empty(text_col)
-    versions = materialize(history.select(F.sha2(text, 256).alias("blob"), F.col(path_col).alias("path")), "versions")
+    versions = history.select(F.sha2(text, 256).alias("blob"), F.col(path_col).alias("path"))
+    # Copies meet here, before any join.
+    new = materialize(versions.groupBy("blob").agg(F.count("*").alias("n"), F.min("path").alias("_first")), "versions")
     rows = history.select(F.col(path_col).alias("_path"), text.alias("text"), F.sha2(text, 256).alias("blob"))
     if ledger is not None:
         seen = materialize(ledger.filter(F.col("rule_version") == version).select("blob").distinct(), "seen")
-        new = materialize(versions.select("blob").distinct().join(seen, "blob", "left_anti"), "new")
-        few = sized(new, BLOB_BYTES, broadcast_bytes)
-        rows = rows.join(few, "blob", "left_semi") if few is not new else rows.join(sized(seen, BLOB_BYTES, broadcast_bytes), "blob", "left_anti")
-        versions = versions.join(new, "blob", "left_semi")
-    repeated = versions.groupBy("blob").agg(F.count("*").alias("n"), F.min("path").alias("_first")).filter("n > 1").select("blob", F.lit(True).alias("_repeated"), "_first")
-    rows = rows.join(sized(materialize(repeated, "repeated"), BLOB_BYTES, broadcast_bytes), "blob", "left")
+        new = materialize(new.join(seen, "blob", "left_anti"), "new")
+        blobs = new.select("blob")
+        few = sized(blobs, BLOB_BYTES, broadcast_bytes)
+        rows = rows.join(few, "blob", "left_semi") if few is not blobs else rows.join(sized(seen, BLOB_BYTES, broadcast_bytes), "blob", "left_anti")
+    repeated = new.filter("n > 1").select("blob", F.lit(True).alias("_repeated"), "_first")
+    rows = rows.join(sized(repeated, BLOB_BYTES, broadcast_bytes), "blob", "left")
     rows = rows.filter(F.col("_repeated").isNull() | F.col("_path").eqNullSafe(F.col("_first")))
     found = F.array_sort(F.concat(*[spans_of(F.col("text"), r, k) for k, r in enumerate(rules)]))
     return rows.select("blob", F.lit(version).alias("rule_version"), found.alias("findings")).dropDuplicates(["blob"])
