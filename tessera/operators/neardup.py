@@ -2,34 +2,115 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scores import EPSILON, dot, norm
+from tessera.functions.scores import EPSILON, norm
 from tessera.sources.snapshots import materialized
 
 #: Vectors per block of a type. A pair of blocks is one unit of work, so a type that holds most
 #: vectors is spread over many tasks.
 BLOCK = 2048
+#: Rows of a block that are multiplied at once, which bounds a task's matrices.
+STRIP = 512
+#: What a matrix product may differ from the sum in order.
+SLACK = 1e-9
 
 
 def blocked(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """df (node_id, embedding, type) with norm, and its block within the type; the number of blocks
-    follows from each type's count."""
+    follows from each type's count. Types are few, so their counts are broadcast."""
     n = df.groupBy("type").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    return df.join(n, "type").withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).withColumn("norm", norm(F.col("embedding")))
-
-
-def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered: bool) -> DataFrame:
-    """a, b, type, similarity of pairs of a type at or above the threshold. Each left row meets each
-    block of the right side by an equi-join on (type, block)."""
-    blocks = right.groupBy("type", "block").agg(F.lit(1).alias("_"), F.count("*").alias("_n")).select("type", F.col("block").alias("other"))
-    a = left.join(blocks, "type").select(F.col("node_id").alias("a"), F.col("embedding").alias("ea"), F.col("norm").alias("na"), "type", F.col("other").alias("block"))
-    b = right.select(F.col("node_id").alias("b"), F.col("embedding").alias("eb"), F.col("norm").alias("nb"), "type", "block")
-    similarity = dot(F.col("ea"), F.col("eb")) / (F.col("na") * F.col("nb") + F.lit(EPSILON))
-    pairs = a.join(b, ["type", "block"]).filter("a < b" if ordered else "a <> b").withColumn("similarity", similarity)
-    return pairs.filter(F.col("similarity") >= threshold).select("a", "b", "type", "similarity")
+    return df.join(F.broadcast(n), "type").withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).withColumn("norm", norm(F.col("embedding")))
+
+
+def _matrix(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings as columns, shorter ones filled up with 0, and their lengths."""
+    size = values.value_lengths().to_numpy(zero_copy_only=False)
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((len(size), size.max(initial=0)))
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return np.ascontiguousarray(out.T), size
+
+
+def _similar(x: np.ndarray, size: np.ndarray, length: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Similarities of rows p with rows q, each a sum in order over the shorter of both."""
+    total, least = np.zeros(len(p)), np.minimum(size[p], size[q])
+    even = len(np.unique(size)) < 2
+    for k in range(len(x)):
+        product = x[k][p] * x[k][q]
+        total += product if even else np.where(k < least, product, 0.0)
+    return total / (length[p] * length[q] + EPSILON)
+
+
+def _unit(threshold: float, ordered: bool, first: int | None):
+    """Of the rows of one unit (type, i, j), the similar pairs of its two sides. Products of matrices
+    find the candidates, sums in order decide."""
+
+    def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids, length = rows["node_id"].combine_chunks(), rows["norm"].to_numpy()
+        x, size = _matrix(rows["embedding"].combine_chunks())
+        side = rows["side"].to_numpy()
+        own = key[1].as_py() == key[2].as_py() and ordered  # a block with itself
+        left, right = (np.arange(len(side)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        place = np.unique(np.array(ids.to_pylist(), object), return_inverse=True)[1]
+        y, best = x[:, right], None
+
+        def batch(p: np.ndarray, q: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(p)), ids.take(pa.array(q)), pa.repeat(key[0], len(p)), pa.array(s)], ["a", "b", "type", "similarity"])
+
+        with np.errstate(all="ignore"):
+            for k in range(0, len(left), STRIP):
+                strip = left[k : k + STRIP]
+                near = x[:, strip].T @ y / (length[strip][:, None] * length[right] + EPSILON)
+                i, j = np.nonzero(~(near < threshold - SLACK))  # not a number counts as similar, as in SQL
+                p, q = strip[i], right[j]
+                if ordered:
+                    kept = place[p] < place[q] if own else place[p] != place[q]
+                    p, q = p[kept], q[kept]
+                    turned = place[p] > place[q]
+                    p, q = np.where(turned, q, p), np.where(turned, p, q)
+                else:
+                    kept = place[p] != place[q]
+                    p, q = p[kept], q[kept]
+                s = _similar(x, size, length, p, q)
+                kept = ~(s < threshold)
+                p, q, s = p[kept], q[kept], s[kept]
+                if first is not None:
+                    if best is not None:
+                        p, q, s = (np.concatenate(c) for c in zip(best, (p, q, s), strict=True))
+                    order = np.lexsort((place[q], place[p]))[:first]
+                    best = p[order], q[order], s[order]
+                    continue
+                for at in range(0, len(p), 100_000):
+                    yield batch(p[at : at + 100_000], q[at : at + 100_000], s[at : at + 100_000])
+        if best is not None:
+            yield batch(*best)
+
+    return pairs
+
+
+def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered: bool, first: int | None = None) -> DataFrame:
+    """a, b, type, similarity of pairs of a type at or above the threshold. Each pair of blocks of a
+    type is a unit of work. ordered: both sides are the same rows, and a < b. first: only the first so
+    many pairs by (a, b) of each unit, among which are the first ones of all."""
+    def side(df: DataFrame, k: Column, i: Column, j: Column) -> DataFrame:
+        return df.filter("node_id is not null and norm is not null").select("type", i.alias("i"), j.alias("j"), k.alias("side"), "node_id", "embedding", "norm")
+
+    each = F.explode(F.sequence(F.lit(0), F.col("other") - 1))
+    if ordered:
+        rows = left.withColumnRenamed("blocks", "other").withColumn("other", each)
+        rows = side(rows, (F.col("block") > F.col("other")).cast("int"), F.least("block", "other"), F.greatest("block", "other"))
+    else:
+        a, b = (df.join(F.broadcast(other.groupBy("type").agg(F.first("blocks").alias("other"))), "type").withColumn("other", each) for df, other in ((left, right), (right, left)))
+        rows = side(a, F.lit(0), F.col("block"), F.col("other")).unionAll(side(b, F.lit(1), F.col("other"), F.col("block")))
+    return rows.groupBy("type", "i", "j").applyInArrow(_unit(threshold, ordered, first), f"a string, b string, type {left.schema['type'].dataType.simpleString()}, similarity double")
 
 
 def all_pairs(vectors: DataFrame, threshold: float = 0.90, limit: int | None = 1000) -> DataFrame:
@@ -38,7 +119,7 @@ def all_pairs(vectors: DataFrame, threshold: float = 0.90, limit: int | None = 1
     pairs = scored_pairs(rows, rows, threshold, True)
     if limit is not None:
         pairs = pairs.orderBy("type", "a", "b").limit(limit)
-    return pairs.orderBy(F.desc("similarity"), "a", "b")
+    return materialized(pairs, "all-pairs").orderBy(F.desc("similarity"), "a", "b")
 
 
 def incremental_pairs(pending: DataFrame, checked: DataFrame, threshold: float = 0.90) -> DataFrame:

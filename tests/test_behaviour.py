@@ -108,6 +108,27 @@ def test_blocks_lose_no_pair(spark):
     assert pairs == sorted((a[0], b[0]) for a, b in combinations(rows, 2) if cosine(a[1], b[1]) >= 0.8)
 
 
+def odd_vectors(spark):
+    r = random.Random(4)
+    rows = [(f"v{k:03d}", [r.gauss(0, 1) for _ in range(3 + k % 3)], "TS"[k % 2]) for k in range(80)]
+    rows += [("e", [], "T"), ("f", [None, 1.0], "T"), ("g", None, "T"), ("h", [float("nan")] * 3, "T"), ("i", [float("inf"), 0.0, 1.0], "T"), ("j", [0.0, 0.0], "T"), ("k", [1e-6, 0.0], "T"), ("k", [1.0], "T"), ("l", [1e-6], "T"), (None, [1.0], "T"), ("m", [1.0], None)]
+    return spark.createDataFrame(rows, "node_id string, embedding array<double>, type string")
+
+
+def test_pairs_come_from_blocks_not_from_a_join_of_rows(spark):
+    v = odd_vectors(spark)
+    a, b = (v.toDF(n, f"e{n}", "type") for n in "ab")
+    near = a.join(b, "type").withColumn("similarity", S.cosine(F.col("ea"), F.col("eb"))).filter("similarity >= 0.8")
+    rows = lambda df: got(df.withColumn("similarity", F.col("similarity").cast("string")), "a", "b", "type", "similarity")
+    small = D.blocked(v, 9)
+    found = D.scored_pairs(small, small, 0.8, True)
+    assert rows(found) == rows(near.filter("a < b"))
+    some = lambda df, name, odd: df.filter(F.substring(name, -1, 1).isin(*"13579ehk") == F.lit(odd))
+    crossed = D.scored_pairs(some(small, "node_id", True), some(small, "node_id", False), 0.8, False)
+    assert rows(crossed) == rows(some(some(near, "a", True), "b", False).filter("a <> b"))
+    assert str(found._jdf.queryExecution().optimizedPlan()).startswith("FlatMapGroupsInArrow")
+
+
 def test_greedy_merges_follow_counts(spark):
     n = nodes(spark, {"id": "a", "validated_count": 5}, {"id": "b", "validated_count": 2}, {"id": "c", "validated_count": 6}, {"id": "d"})
     pairs = spark.createDataFrame([("a", "b", "T", 0.99), ("a", "c", "T", 0.95), ("b", "d", "T", 0.94)], "a string, b string, type string, similarity double")
