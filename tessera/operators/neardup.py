@@ -116,7 +116,7 @@ def scored_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered: b
 def all_pairs(vectors: DataFrame, threshold: float = 0.90, limit: int | None = 1000) -> DataFrame:
     """vectors: node_id, embedding, type. The first pairs by (type, a, b), then best first."""
     rows = blocked(vectors)
-    pairs = scored_pairs(rows, rows, threshold, True)
+    pairs = scored_pairs(rows, rows, threshold, True, limit)
     if limit is not None:
         pairs = pairs.orderBy("type", "a", "b").limit(limit)
     return materialized(pairs, "all-pairs").orderBy(F.desc("similarity"), "a", "b")

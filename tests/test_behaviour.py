@@ -129,6 +129,17 @@ def test_pairs_come_from_blocks_not_from_a_join_of_rows(spark):
     assert str(found._jdf.queryExecution().optimizedPlan()).startswith("FlatMapGroupsInArrow")
 
 
+def test_capped_pairs_are_the_first_of_all(spark):
+    v = odd_vectors(spark).filter("node_id is not null")
+    rows = D.blocked(v, 9)
+    whole = [r[:3] for r in sorted((r["type"], r["a"], r["b"]) for r in D.scored_pairs(rows, rows, 0.5, True).collect())]
+    units = rows.groupBy("type").agg(F.first(F.col("blocks") * (F.col("blocks") + 1) / 2).alias("n")).agg(F.sum("n")).first()[0]
+    few = D.scored_pairs(rows, rows, 0.5, True, 3)
+    assert 7 < few.count() <= 3 * units < len(whole)
+    assert [tuple(r) for r in few.select("type", "a", "b").orderBy("type", "a", "b").limit(3).collect()] == whole[:3]
+    assert got(D.all_pairs(v, 0.5, 7), "type", "a", "b") == whole[:7]
+
+
 def test_greedy_merges_follow_counts(spark):
     n = nodes(spark, {"id": "a", "validated_count": 5}, {"id": "b", "validated_count": 2}, {"id": "c", "validated_count": 6}, {"id": "d"})
     pairs = spark.createDataFrame([("a", "b", "T", 0.99), ("a", "c", "T", 0.95), ("b", "d", "T", 0.94)], "a string, b string, type string, similarity double")
