@@ -9,6 +9,7 @@ from tessera.functions.scores import belief
 from tessera.functions.text import normalized_name
 from tessera.operators.access import flag_list
 from tessera.sources.config import NODE_TYPES
+from tessera.sources.snapshots import materialized
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
@@ -30,6 +31,8 @@ def upsert_nodes(nodes: DataFrame, incoming: DataFrame, now_ms: int) -> DataFram
     first, last = F.min_by("type", "seq"), F.max(F.struct("seq", "description", "content"))
     sessions = F.transform(F.array_sort(F.collect_list(F.struct("seq", "session_id"))), lambda x: x["session_id"])
     folded = rows.groupBy("name").agg(first.alias("_type"), last.alias("_last"), F.count("*").alias("_n"), sessions.alias("_sessions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("_flags"))
+    # Written first: by a name that the plan knows as a constant, the join would broadcast all nodes.
+    folded = materialized(folded, "mentions")
     touched = F.col("_n").isNotNull()
     none = F.array().cast("array<string>")
     merged = nodes.join(folded, "name", "full_outer")

@@ -222,7 +222,8 @@ class Engine:
         rows = p.select(F.lit(f"session-{session_id}").alias("name"), F.lit("SESSION").alias("type"), some("description").alias("description"), some("summary").alias("content"), F.lit(session_id).alias("session_id"), F.array().cast("array<string>").alias("flags"), "seq")
         nodes = mutate.upsert_nodes(self.table("nodes"), rows, now)
         own = access.active(nodes).filter(F.array_contains("source_sessions", session_id)).withColumn("session_id", F.lit(session_id))
-        links = mutate.session_links(own.filter("type <> 'SESSION'"), own.filter("type = 'SESSION'"))
+        named = F.col("name") == normalized_name(F.lit(f"session-{session_id}"))
+        links = mutate.session_links(own.filter("type <> 'SESSION'"), own.filter("type = 'SESSION'").filter(named))
         self.store.commit({"nodes": nodes, "edges": mutate.upsert_edges(self.table("edges"), links, nodes, now)})
 
     def end_session(self, session_id: str, final: DataFrame, summary: DataFrame, protected: DataFrame) -> DataFrame:

@@ -349,6 +349,18 @@ def test_engine_end_to_end(spark, tmp_path):
         engine.get_flags("nobody") and engine.set_hot("nobody")
 
 
+def test_a_session_s_end_doesn_t_gather_all_nodes_nor_links_to_other_sessions(spark, tmp_path):
+    n = nodes(spark, {"id": "1", "name": "one", "type": "TASK"}, {"id": "2", "name": "session-old", "type": "SESSION"}, {"id": "3", "name": "three", "source_sessions": ["t"]})
+    row = spark.range(1).select(F.lit("session s").alias("name"), F.lit("SESSION").alias("type"), F.lit("d").alias("description"), F.lit("c").alias("content"), F.lit("s").alias("session_id"), F.array().cast("array<string>").alias("flags"), F.lit(0).alias("seq"))
+    after = U.upsert_nodes(n, row, 9)
+    assert "BroadcastNestedLoopJoin" not in after._jdf.queryExecution().executedPlan().toString()
+    engine = Engine(spark, f"file://{tmp_path}/store", lambda: 1_000)
+    engine.store.commit({"nodes": n, "edges": edges(spark, ("1", "3"))})
+    engine.induce_session("s", spark.createDataFrame([("nothing to say", 0)], "raw string, seq int"))
+    new = engine.table("nodes").filter("name = 'session-s'").first()["id"]
+    assert got(engine.table("edges").filter("name = '属于会话'"), "from_id", "to_id") == [("1", new)]
+
+
 def test_recall_is_cached_bounded_in_time_and_rests(spark, tmp_path):
     now = [1_000]
     engine = Engine(spark, f"file://{tmp_path}/store", lambda: now[0], Config(recall_timeout_ms=600_000))
