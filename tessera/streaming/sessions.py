@@ -18,7 +18,9 @@ from tessera.sources.snapshots import Store
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet*").option("recursiveFileLookup", "false").parquet(folder)
+    """Of files that are named for the table, and of files in folders that are. New ones are found as
+    they come."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parquet*")
 
 
 def drained(stream: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

@@ -73,3 +73,20 @@ def test_report_finds_the_best_of_all_pairs(spark, many_pairs):
     folder, names = many_pairs
     best = core.QUERIES["z02_report"](spark, folder).filter("what = 'pair'").orderBy(F.desc("value")).first()
     assert (best["a"], best["b"], best["value"]) == (names[-2], names[-1], 1.0)
+
+
+@pytest.fixture(scope="module")
+def in_folders(spark, tmp_path_factory):
+    """sf0.001 with conversations and events as folders of several files."""
+    folder = tmp_path_factory.mktemp("folders")
+    for table in Path(SF).iterdir():
+        if table.stem in ("conversations", "events"):
+            spark.read.parquet(str(table)).repartition(3).write.parquet(str(folder / table.name))
+        else:
+            (folder / table.name).symlink_to(table)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["e03_turn_counts", "e14_tumbling"])
+def test_streams_read_tables_that_are_folders(spark, in_folders, name):
+    assert same(spark, in_folders, core.QUERIES[name], core.ORACLE_SQL[name], connection(in_folders))
