@@ -87,6 +87,6 @@ def in_folders(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["e03_turn_counts", "e14_tumbling"])
+@pytest.mark.parametrize("name", ["e01_ingest", "e03_turn_counts", "e14_tumbling"])
 def test_streams_read_tables_that_are_folders(spark, in_folders, name):
     assert same(spark, in_folders, core.QUERIES[name], core.ORACLE_SQL[name], connection(in_folders))
