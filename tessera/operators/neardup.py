@@ -29,33 +29,32 @@ def blocked(df: DataFrame, block: int = BLOCK) -> DataFrame:
     return df.join(F.broadcast(n), "type").withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int")).withColumn("norm", norm(F.col("embedding")))
 
 
-def _matrix(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings as columns, shorter ones filled up with 0, and their lengths."""
-    size = values.value_lengths().to_numpy(zero_copy_only=False)
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)
-    out = np.zeros((len(size), size.max(initial=0)))
-    out[np.arange(out.shape[1]) < size[:, None]] = flat
-    return np.ascontiguousarray(out.T), size
-
-
-def _similar(x: np.ndarray, size: np.ndarray, length: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Similarities of rows p with rows q, each a sum in order over the shorter of both."""
-    total, least = np.zeros(len(p)), np.minimum(size[p], size[q])
-    even = len(np.unique(size)) < 2
-    for k in range(len(x)):
-        product = x[k][p] * x[k][q]
-        total += product if even else np.where(k < least, product, 0.0)
-    return total / (length[p] * length[q] + EPSILON)
-
-
 def _unit(threshold: float, ordered: bool, first: int | None):
     """Of the rows of one unit (type, i, j), the similar pairs of its two sides. Products of matrices
-    find the candidates, sums in order decide."""
+    find the candidates, sums in order decide. It goes to executors whole, without
+    this module."""
+
+    def matrix(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings as columns, shorter ones filled up with 0, and their lengths."""
+        size = values.value_lengths().to_numpy(zero_copy_only=False)
+        flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+        out = np.zeros((len(size), size.max(initial=0)))
+        out[np.arange(out.shape[1]) < size[:, None]] = flat
+        return np.ascontiguousarray(out.T), size
+
+    def similar(x: np.ndarray, size: np.ndarray, length: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Similarities of rows p with rows q, each a sum in order over the shorter of both."""
+        total, least = np.zeros(len(p)), np.minimum(size[p], size[q])
+        even = len(np.unique(size)) < 2
+        for k in range(len(x)):
+            product = x[k][p] * x[k][q]
+            total += product if even else np.where(k < least, product, 0.0)
+        return total / (length[p] * length[q] + EPSILON)
 
     def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()
         ids, length = rows["node_id"].combine_chunks(), rows["norm"].to_numpy()
-        x, size = _matrix(rows["embedding"].combine_chunks())
+        x, size = matrix(rows["embedding"].combine_chunks())
         side = rows["side"].to_numpy()
         own = key[1].as_py() == key[2].as_py() and ordered  # a block with itself
         left, right = (np.arange(len(side)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
@@ -79,7 +78,7 @@ def _unit(threshold: float, ordered: bool, first: int | None):
                 else:
                     kept = place[p] != place[q]
                     p, q = p[kept], q[kept]
-                s = _similar(x, size, length, p, q)
+                s = similar(x, size, length, p, q)
                 kept = ~(s < threshold)
                 p, q, s = p[kept], q[kept], s[kept]
                 if first is not None:

@@ -21,11 +21,12 @@ class Tables:
     recalled: DataFrame
 
 
-def dedup(t: Tables, now_ms: int, config: Config = Config(), full: bool = False) -> tuple[Tables, DataFrame]:
+def dedup(t: Tables, now_ms: int, config: Config = Config(), full: bool = False, budgets: bool = True) -> tuple[Tables, DataFrame]:
     """Tables after merging near-duplicates, and the report. An incremental pass takes the oldest
     pending vectors within the budget; types that the pair budget blocked stay pending, and both
     ends of pairs that the merge budget left become pending again. A budget of 0 pending vectors
-    means a full pass, and one of 0 pairs no cap."""
+    means a full pass, and one of 0 pairs no cap. Without budgets one pass does what is there: all
+    pending vectors, all their pairs, all merges."""
     full = full or config.dedup_max_pending == 0
     everything = vectors.typed(t.vectors, t.nodes)
     before = everything.filter(vectors.is_pending()).count()
@@ -33,12 +34,13 @@ def dedup(t: Tables, now_ms: int, config: Config = Config(), full: bool = False)
         batch = everything
         pairs = materialized(neardup.all_pairs(everything, config.dedup_threshold, None), "pairs")
     else:
-        batch = materialized(vectors.pending(t.vectors, t.nodes, config.dedup_max_pending), "pending")
+        batch = vectors.pending(t.vectors, t.nodes, config.dedup_max_pending) if budgets else everything.filter(vectors.is_pending())
+        batch = materialized(batch, "pending")
         others = everything.filter(~vectors.is_pending()).join(batch.select("type").distinct(), "type", "left_semi")
         pairs = materialized(neardup.incremental_pairs(batch, others, config.dedup_threshold), "pairs")
-    if config.dedup_max_pairs == 0:
+    if config.dedup_max_pairs == 0 or not budgets:
         kept, blocked = pairs, pairs.select("type").limit(0)
-        steps = neardup.merge_steps_apart(kept, t.nodes, config.dedup_max_merges)
+        steps = neardup.merge_steps_apart(kept, t.nodes, config.dedup_max_merges) if budgets else neardup.merge_steps(kept, t.nodes, None)
     else:
         kept, blocked = neardup.budgeted(pairs, config.dedup_max_pairs)
         kept = materialized(kept, "kept-pairs")
@@ -57,7 +59,7 @@ def dedup(t: Tables, now_ms: int, config: Config = Config(), full: bool = False)
     return out, neardup.report(before, after, done.count(), kept.count(), merges.count(), t.nodes.sparkSession)
 
 
-def retire(t: Tables, protected: DataFrame, now_ms: int, days: int, budget: int) -> Tables:
+def retire(t: Tables, protected: DataFrame, now_ms: int, days: int, budget: int | None) -> Tables:
     gone = materialized(messages.retention(t.messages, t.recalled, protected, now_ms, days, budget), "retired")
     return Tables(t.nodes, t.edges, t.vectors, messages.remaining(t.messages, gone, "message"), messages.remaining(t.recalled, gone, "recall"))
 
@@ -68,9 +70,10 @@ def rank(t: Tables, config: Config = Config()) -> Tables:
     return Tables(materialized(mutate.set_pageranks(t.nodes, scores), "ranked"), t.edges, t.vectors, t.messages, t.recalled)
 
 
-def maintain(t: Tables, protected: DataFrame, now_ms: int, days: int = 90, config: Config = Config()) -> tuple[Tables, DataFrame]:
-    t = retire(t, protected, now_ms, days, config.retention_batch)
-    t, report = dedup(t, now_ms, config)
+def maintain(t: Tables, protected: DataFrame, now_ms: int, days: int = 90, config: Config = Config(), budgets: bool = True) -> tuple[Tables, DataFrame]:
+    """Without budgets nothing is left for a later run."""
+    t = retire(t, protected, now_ms, days, config.retention_batch if budgets else None)
+    t, report = dedup(t, now_ms, config, budgets=budgets)
     return rank(t, config), report
 
 

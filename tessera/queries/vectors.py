@@ -130,5 +130,5 @@ def _(fx):
     named = fx.neardup.select(F.col("node_id").alias("id"), F.col("label").cast("string").alias("type"))
     fill = {c: F.lit(None) for c in base.columns} | {"status": F.lit("active"), "name": F.col("id"), "validated_count": F.lit(1).cast("long"), "content": F.lit("c"), "description": F.lit("d"), "flags": F.lit("[]"), "updated_at": F.lit(1).cast("long"), "success_count": F.lit(0.0), "failure_count": F.lit(0.0), "belief": F.lit(0.5), "source_sessions": F.array(F.lit("s"))}
     nodes = named.select(*[F.col(c) if c in ("id", "type") else fill[c].cast(base.schema[c].dataType).alias(c) for c in base.columns])
-    _, report = dedup(Tables(nodes, fx.edges.limit(0), v, fx.messages, fx.recalled), fx.now)
+    _, report = dedup(Tables(nodes, fx.edges.limit(0), v, fx.messages, fx.recalled), fx.now, budgets=False)
     return report

@@ -187,6 +187,11 @@ def test_no_pair_budget_means_no_cap(spark):
     assert tuple(report.first()) == (6, 2, 4, 3, 2)
 
 
+def test_without_budgets_one_pass_leaves_nothing(spark):
+    t, report = dedup(near_pairs(spark, 5), 10, Config(dedup_max_pending=4, dedup_max_pairs=2, dedup_max_merges=1), budgets=False)
+    assert tuple(report.first()) == (10, 0, 10, 5, 5) and t.nodes.filter("status = 'active'").count() == 5
+
+
 def test_vector_search_order_and_limits(spark):
     n = nodes(spark, {"id": "x"}, {"id": "y"}, {"id": "z"}, {"id": "gone", "status": "deprecated"})
     v = spark.createDataFrame([("x", [1.0, 0.0, 0.0]), ("y", [0.9, 0.1, 0.0]), ("z", [0.0, 1.0, 0.0]), ("gone", [1.0, 0.0, 0.0])], "node_id string, embedding array<float>")

@@ -100,3 +100,14 @@ def test_exploring_from_a_deprecated_node_doesn_t_show_it(spark, tmp_path):
     bad = spark.createDataFrame([(10, 0, 0)], labels.schema)
     labels.filter("doc_id <> 10").unionByName(bad).write.parquet(str(tmp_path / "labels.parquet"))
     assert same(spark, str(tmp_path), core.QUERIES["r15_explore"], core.ORACLE_SQL["r15_explore"], connection(tmp_path))
+
+
+def test_dedup_report_has_no_budgets(spark, tmp_path):
+    """1,020 pairs of vectors with their near copies, which is more than a pass of the engine merges."""
+    for table in Path(SF).iterdir():
+        if table.name != "embeddings.parquet":
+            (tmp_path / table.name).symlink_to(table)
+    schema = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").schema
+    rows = [(10 * k, [float(k // 10 == j) for j in range(102)], k % 10) for k in range(1020)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert same(spark, str(tmp_path), core.QUERIES["d06_dedup_report"], core.ORACLE_SQL["d06_dedup_report"], connection(tmp_path))
