@@ -82,13 +82,15 @@ def protected_sessions(sessions: DataFrame, cutoff_ms: int) -> DataFrame:
     return sessions.filter(F.col("running") | (F.col("updated_at") >= cutoff_ms)).select("session_id").distinct()
 
 
-def retention(messages: DataFrame, recalled: DataFrame, protected: DataFrame, now_ms: int, days: int, budget: int) -> DataFrame:
-    """What may go: kind, id. Oldest first within one budget, messages before recalls; nothing if no
-    session is protected."""
+def retention(messages: DataFrame, recalled: DataFrame, protected: DataFrame, now_ms: int, days: int, budget: int | None) -> DataFrame:
+    """What may go: kind, id. Oldest first within one budget, messages before recalls, or all without
+    a budget; nothing if no session is protected."""
     cutoff = now_ms - max(1, days) * 86_400_000
     keep = protected.select("session_id").distinct()
     old = [t.filter(F.col("created_at") < cutoff).join(keep, "session_id", "left_anti").select(F.lit(k).alias("kind"), F.lit(i).alias("_k"), "id", "created_at") for i, (k, t) in enumerate((("message", messages), ("recall", recalled)))]
-    rows = old[0].unionByName(old[1]).orderBy("_k", "created_at", "id").limit(max(1, budget))
+    rows = old[0].unionByName(old[1])
+    if budget is not None:
+        rows = rows.orderBy("_k", "created_at", "id").limit(max(1, budget))
     any_protected = keep.limit(1).select(F.lit(1).alias("_one"))
     return rows.withColumn("_one", F.lit(1)).join(F.broadcast(any_protected), "_one", "left_semi").select("kind", "id")
 

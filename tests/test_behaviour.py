@@ -17,7 +17,7 @@ from tessera.operators import ranking as R
 from tessera.operators import search
 from tessera.operators import vectors as V
 from tessera.plans.engine import Engine
-from tessera.plans.maintenance import Tables, dedup
+from tessera.plans.maintenance import Tables, dedup, maintain
 from tessera.sources.config import Config, clamp, names
 from tessera.sources.schemas import NODES, TABLES
 from tessera.sources.snapshots import Store
@@ -192,6 +192,16 @@ def test_without_budgets_one_pass_leaves_nothing(spark):
     assert tuple(report.first()) == (10, 0, 10, 5, 5) and t.nodes.filter("status = 'active'").count() == 5
 
 
+def test_maintenance_without_budgets_leaves_nothing(spark):
+    t = near_pairs(spark, 3)
+    t.messages = spark.createDataFrame([(f"m{k}", 0, "old" if k else "kept") for k in range(5)], "id string, created_at bigint, session_id string")
+    t.recalled = spark.createDataFrame([("r0", 0, "old"), ("r1", 10**10, "old")], "id string, created_at bigint, session_id string")
+    kept = spark.createDataFrame([("kept",)], "session_id string")
+    few = Config(retention_batch=2, dedup_max_pending=4, dedup_max_merges=1)
+    t, report = maintain(t, kept, 10**10, 1, few, budgets=False)
+    assert (got(t.messages, "id"), got(t.recalled, "id"), report.first()["merged"]) == ([("m0",)], [("r1",)], 3)
+
+
 def test_vector_search_order_and_limits(spark):
     n = nodes(spark, {"id": "x"}, {"id": "y"}, {"id": "z"}, {"id": "gone", "status": "deprecated"})
     v = spark.createDataFrame([("x", [1.0, 0.0, 0.0]), ("y", [0.9, 0.1, 0.0]), ("z", [0.0, 1.0, 0.0]), ("gone", [1.0, 0.0, 0.0])], "node_id string, embedding array<float>")
