@@ -11,6 +11,11 @@ from tessera.operators.access import flag_list
 from tessera.sources.config import NODE_TYPES
 from tessera.sources.snapshots import materialized
 
+#: What a changing side may hold to be broadcast, as JSON.
+BROADCAST_CHARS = 8_000_000
+#: How many ids may be.
+BROADCAST_IDS = 100_000
+
 
 def stable_id(prefix: str, *parts: Column) -> Column:
     """An id from a row's natural key: the same whenever a task runs again."""
@@ -21,11 +26,12 @@ def _strings(flags: Column) -> Column:
     return F.to_json(flags)
 
 
-def upsert_nodes(nodes: DataFrame, incoming: DataFrame, now_ms: int) -> DataFrame:
+def upsert_nodes(nodes: DataFrame, incoming: DataFrame, now_ms: int, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """incoming: name, type, description, content, session_id, flags (array), seq.
 
     A known name keeps its type, gets the last description and content by seq, counts every
     mention, gathers sessions and flags, and becomes active again. A new one takes the first type.
+    Mentions are written, measured and, within broadcast_chars, broadcast.
     """
     rows = incoming.withColumn("name", normalized_name(F.col("name")))
     first, last = F.min_by("type", "seq"), F.max(F.struct("seq", "description", "content"))
@@ -35,7 +41,13 @@ def upsert_nodes(nodes: DataFrame, incoming: DataFrame, now_ms: int) -> DataFram
     folded = materialized(folded, "mentions")
     touched = F.col("_n").isNotNull()
     none = F.array().cast("array<string>")
-    merged = nodes.join(folded, "name", "full_outer")
+    chars = folded.agg(F.coalesce(F.sum(F.char_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    if chars > broadcast_chars:
+        merged = nodes.join(folded, "name", "full_outer")
+    else:  # few mentions: nodes, with their texts, stay where they are
+        known = nodes.select("name").join(F.broadcast(folded.select("name")), "name", "left_semi").distinct()
+        new = folded.join(F.broadcast(known), "name", "left_anti")
+        merged = nodes.join(F.broadcast(folded), "name", "left").unionByName(new, allowMissingColumns=True)
     changed = {
         "id": F.coalesce("id", stable_id("n", F.col("name"))),
         "type": F.coalesce("type", "_type"),
@@ -173,6 +185,9 @@ def finalized(nodes: DataFrame, edges: DataFrame, skills: DataFrame, links: Data
     nodes = upsert_nodes(nodes, skills.withColumn("type", F.lit("SKILL")), now_ms)
     ids = nodes.select("name", "id")
     named = links.join(ids.toDF("from_name", "from_id"), "from_name").join(ids.toDF("to_name", "to_id"), "to_name").select("from_id", "to_id", "name", "description", "session_id", "seq")
+    invalid = materialized(invalid.select("id").distinct(), "invalid")
+    if invalid.count() <= BROADCAST_IDS:
+        invalid = F.broadcast(invalid)
     return deprecate(nodes, invalid, now_ms), upsert_edges(edges, named, nodes, now_ms)
 
 

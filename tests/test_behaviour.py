@@ -83,6 +83,14 @@ def test_upsert_revives_and_counts(spark):
     assert (r["type"], r["content"], r["status"], r["validated_count"], r["source_sessions"], r["flags"], r["updated_at"]) == ("TASK", "c2", "active", 3, ["s", "s1", "s2"], '["x","y"]', 99)
 
 
+def test_few_mentions_leave_nodes_unshuffled_and_many_give_the_same(spark):
+    n = nodes(spark, {"id": "1", "name": "a"}, {"id": "2", "name": "b", "status": "deprecated"}, {"id": "3"})
+    rows = spark.createDataFrame([("A", "SKILL", "d1", "c1", "s1", ["y"], 1), ("new", "EVENT", "d2", "c2", "s2", ["x"], 2), (None, "TASK", "d3", "c3", "s3", [], 3)], "name string, type string, description string, content string, session_id string, flags array<string>, seq int")
+    few, many = U.upsert_nodes(n, rows, 99), U.upsert_nodes(n, rows, 99, broadcast_chars=-1)
+    assert few.columns == many.columns and sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+    assert few.count() == 5 and "FullOuter" not in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merging_moves_edges_once(spark):
     m = spark.createDataFrame([("b", "a")], "merge_id string, keep_id string")
     found = U.merged_edges(edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "b")), m)
