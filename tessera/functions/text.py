@@ -35,8 +35,8 @@ CHARS_PER_TOKEN = 3
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at both ends, that of Unicode and a byte order mark included."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", "")
 
 
 def normalized_name(c: Column) -> Column:

@@ -10,10 +10,12 @@ from tessera.operators.mutate import stable_id
 
 
 def ingested(messages: DataFrame, incoming: DataFrame, now_ms: int) -> DataFrame:
-    """incoming: session_id, role, content, seq. Each gets the next turn of its session."""
+    """incoming: session_id, role, content, seq and maybe place, which orders messages of one seq. Each
+    gets the next turn of its session; those without a seq come last."""
     last = messages.groupBy("session_id").agg(F.max("turn_index").alias("_last"))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
-    rows = incoming.withColumn("_n", place).join(last, "session_id", "left")
+    order = [F.asc_nulls_last("seq"), *(["place"] if "place" in incoming.columns else [])]
+    n = F.row_number().over(Window.partitionBy("session_id").orderBy(*order))
+    rows = incoming.withColumn("_n", n).join(last, "session_id", "left")
     turn = (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("int")
     rows = rows.withColumn("turn_index", turn)
     return rows.select(stable_id("m", F.col("session_id"), F.col("turn_index").cast("string")).alias("id"), "session_id", "turn_index", "role", "content", F.lit(False).alias("extracted"), F.lit(now_ms).cast("long").alias("created_at"))

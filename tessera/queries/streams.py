@@ -30,7 +30,9 @@ def gathered(fx, stream, mode: str = "complete"):
 
 def messages(fx):
     schema = fx.table("conversations").schema
-    return S.file_stream(fx.spark, fx.sf_dir, "conversations", schema).select(F.concat(F.lit("s"), "conv_id").alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").alias("seq"))
+    session = F.concat_ws("", F.lit("s"), F.col("conv_id").cast("string"))  # without an id: s
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    return S.file_stream(fx.spark, fx.sf_dir, "conversations", schema).select(session.alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").alias("seq"), place.alias("place"))
 
 
 @query("e01_ingest", "select concat('s', conv_id) as session_id, cast(row_number() over (partition by conv_id order by turn) - 1 as int) as turn_index, trim(text) as content from conversations")

@@ -18,9 +18,9 @@ from tessera.sources.snapshots import Store
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, schema: StructType) -> DataFrame:
-    """Of files that are named for the table, and of files in folders that are. New ones are found as
-    they come."""
-    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parquet*")
+    """Of the table's file, or of the files in its folder, where new ones are found as they come. The
+    pattern matches the table's name alone; a stream takes a single file only by a pattern."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def drained(stream: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -30,10 +30,10 @@ def drained(stream: DataFrame, take: Callable[[DataFrame, int], None], checkpoin
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, clock: Callable[[int], int], name: str = "ingest", tag: str = "memory") -> None:
-    """stream: session_id, role, content, seq. Batches are appended one after another: each message
-    gets its session's next turn, without an injected block. Only the batch's sessions are looked up,
-    and only its rows are written. A batch that runs again after a loss is known by its number and
-    changes nothing."""
+    """stream: session_id, role, content, seq and, where a seq may repeat, place. Batches are appended
+    one after another: each message gets its session's next turn, without an injected block. Only the
+    batch's sessions are looked up, and only its rows are written. A batch that runs again after a loss
+    is known by its number and changes nothing."""
 
     def take(batch: DataFrame, number: int) -> None:
         known = store.read("messages").join(batch.select("session_id").distinct(), "session_id", "left_semi")

@@ -2,6 +2,8 @@
 
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from .oracle import connection, same
 
 SF = "/root/testdata/sf0.001"
 MAY_BE_EMPTY = {"g10_retention_unprotected"}
+CONVERSATIONS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +95,40 @@ def test_streams_read_tables_that_are_folders(spark, in_folders, name):
     assert same(spark, in_folders, core.QUERIES[name], core.ORACLE_SQL[name], connection(in_folders))
 
 
+def with_conversations(folder, *parts):
+    """folder gets the tables of sf0.001, but conversations of these rows, a file for each part."""
+    for table in Path(SF).iterdir():
+        if table.name != "conversations.parquet":
+            (folder / table.name).symlink_to(table)
+    (folder / "conversations.parquet").mkdir()
+    for k, rows in enumerate(parts):
+        table = pa.table(dict(zip(("conv_id", "turn", "role", "text"), zip(*rows, strict=True), strict=True)), CONVERSATIONS)
+        pq.write_table(table, folder / "conversations.parquet" / f"part-{k}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["e01_ingest", "e03_turn_counts"])
+def test_messages_with_nulls_and_other_spaces(spark, tmp_path, name):
+    rows = [(1, None, "user", "last"), (1, 0, "user", "\u3000a\u00a0"), (1, 1, "user", " b\u2003"), (None, 1, "user", "d"), (None, 0, None, None), (2, 0, "user", "")]
+    folder = with_conversations(tmp_path, rows[:3], rows[3:])
+    assert same(spark, folder, core.QUERIES[name], core.ORACLE_SQL[name], connection(folder)) == (6 if name == "e01_ingest" else 3)
+
+
+@pytest.mark.parametrize("name", ["e01_ingest", "e03_turn_counts"])
+def test_streams_read_no_files_with_longer_names(spark, tmp_path, name):
+    folder = with_conversations(tmp_path, [(1, 0, "user", "a")])
+    (tmp_path / "conversations.parquet.old").symlink_to(f"{SF}/conversations.parquet")
+    assert same(spark, folder, core.QUERIES[name], core.ORACLE_SQL[name], connection(folder)) == 1
+
+
+def test_messages_of_one_turn_keep_the_table_s_order(spark, tmp_path):
+    """The second file is the larger one, which Spark reads first."""
+    rows = [(1, k // 500, "user", str(k)) for k in range(1000)]
+    folder = with_conversations(tmp_path, rows[:100], rows[100:])
+    got = core.QUERIES["e01_ingest"](spark, folder).collect()
+    assert sorted((r["turn_index"], r["content"]) for r in got) == [(k, str(k)) for k in range(1000)]
+
+
 def test_exploring_from_a_deprecated_node_doesn_t_show_it(spark, tmp_path):
     for table in Path(SF).iterdir():
         if table.name != "labels.parquet":
