@@ -150,6 +150,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return materialize(append_columns(docs.join(sized(ids, 16), "id", "left_semi"), "text", ["id"], "set binary", run), "sets")
 
 
+def few_files(rows: DataFrame) -> DataFrame:
+    """rows dealt anew by size: many tasks keep few of their rows, and each file written costs a
+    commit and, on local disks without Hadoop's native library, processes (chmod)."""
+    return rows.hint("rebalance")
+
+
 def bands(reps: DataFrame) -> DataFrame:
     """key, rep: a row for each band of each sketch."""
 
@@ -249,15 +255,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keyed = bands(reps)
     buckets = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).filter("c > 1")
-    members = materialize(keyed.join(buckets, "key"), "members")
+    members = materialize(few_files(keyed.join(buckets, "key")), "members")
     star = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    possible = materialize(probable(star, reps, percent), "pairs")
+    possible = materialize(few_files(probable(star, reps, percent)), "pairs")
     sets = full_sets(docs, possible.select("a").union(possible.select("b")).toDF("id"), size)
-    links = materialize(confirmed(possible, sets, percent), "links")
+    links = materialize(few_files(confirmed(possible, sets, percent)), "links")
     labels = connected_components(links)
 
     placed = members.filter("c > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    placed = materialize(placed, "placed")
+    placed = materialize(few_files(placed), "placed")
     weight = placed.join(reps.groupBy("rep").agg((F.max("n") * 8).alias("bytes")), "rep")
     parts = weight.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
     major = F.max(F.struct("rows", "label", "bytes"))
@@ -274,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = materialize(crowd.drop("major"), "open")
     more = materialize(cross_links(docs, crowd, reps, size, percent), "more")
     if not more.isEmpty():
-        labels = connected_components(links.union(more))
+        labels = connected_components(more.union(labels))
 
     groups = reps.select("f1", "f2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("label"))
     rows = drawn.select("id", *text_key, "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left")

@@ -98,6 +98,29 @@ def test_chain_of_near_copies_in_one_bucket(spark, monkeypatch, most):
     assert got == brute_components(shingle_sets(rows, 4))
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Tasks that keep few of their rows don't write a file each."""
+    rows = [(k, " ".join(f"w{k - k % 4 * (k < 160)}x{i}" for i in range(30)) + f" e{k}") for k in range(4000)]
+    files, write = {}, near_dedup.materialize
+
+    def counted(df, name, *others):
+        out = write(df, name, *others)
+        files.setdefault(name, len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).filter("not kept").collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k % 4 for k in range(160) if k % 4}
+    assert {k: files[k] for k in ("members", "pairs", "links", "placed")} == dict.fromkeys(("members", "pairs", "links", "placed"), 1)
+
+
 def test_sketches_merge_and_estimate():
     import numpy as np
 
